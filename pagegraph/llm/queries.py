@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm.exact_dedup import exact_dedup
 from pagegraph.llm.mixing import DRAWS, SEED, SPACE, STEP, mixing_plan
+from pagegraph.llm.simhash import simhash_components
+from pagegraph.llm.token_planes import token_planes
 from pagegraph.llm.url_filter import url_filter
 
+#: What op6 puts after each document.
+END_ID = 2
 #: The rule list of op10: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -28,6 +33,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -35,6 +48,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_token_planes": op6_token_planes,
+    "op7_simhash": op7_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
