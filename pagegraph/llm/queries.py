@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm.exact_dedup import exact_dedup
+from pagegraph.llm.language_id import language_id
 from pagegraph.llm.mixing import DRAWS, SEED, SPACE, STEP, mixing_plan
 from pagegraph.llm.simhash import simhash_components
 from pagegraph.llm.token_planes import token_planes
 from pagegraph.llm.url_filter import url_filter
+from pagegraph.llm.warc import archive
 
 #: What op6 puts after each document.
 END_ID = 2
@@ -24,6 +26,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -33,6 +40,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -46,8 +58,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op6_token_planes": op6_token_planes,
     "op7_simhash": op7_simhash,
     "op10_url_filter": op10_url_filter,
@@ -56,6 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SOLID = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT *, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+             max(page_id) OVER (PARTITION BY payload) AS last, count(*) OVER (PARTITION BY payload) AS n FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> last AND payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> last AND payload_bytes >= 1000 THEN last END AS refers_to FROM g""",
     "op2_source_mixing": rf"""
 WITH RECURSIVE docs AS (
   SELECT row_number() OVER () AS i, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
