@@ -19,6 +19,9 @@ SLICE_BYTES = 1 << 20
 #: True for the bytes that separate words.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same, and all ASCII characters that are neither letters nor digits.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -54,11 +57,11 @@ class Words:
     first: np.ndarray  # index of each text's first word
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """All words of all texts, in order."""
+def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """All words of all texts, in order; plain: ASCII punctuation separates them too."""
     ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     buf, offs = buffer_of(ended)
-    solid = ~_BLANK[buf]
+    solid = ~(_MARK if plain else _BLANK)[buf]
     before = np.empty_like(solid)
     before[:1] = False
     before[1:] = solid[:-1]

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegraph.llm.decontaminate import flagged
 from pagegraph.llm.exact_dedup import exact_dedup
 from pagegraph.llm.language_id import language_id
+from pagegraph.llm.line_dedup import LINES, line_dedup
 from pagegraph.llm.mixing import DRAWS, SEED, SPACE, STEP, mixing_plan
 from pagegraph.llm.simhash import simhash_components
 from pagegraph.llm.token_planes import token_planes
@@ -45,6 +47,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -53,6 +60,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flagged(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -62,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_line_winnowing": op5_line_winnowing,
     "op6_token_planes": op6_token_planes,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -114,6 +128,15 @@ WITH docs AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id NULLS LAST) AS keep_id,
              count(*) OVER (PARTITION BY text_sha256) AS group_size FROM docs)""",
+    "op5_line_winnowing": rf"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT k, doc_id, l, p, l[p : p + {LINES - 1}] AS part FROM docs, unnest(range(1, len(l) - {LINES - 2})) u(p)),
+f AS (SELECT *, first_value(k || ':' || p) OVER (PARTITION BY part ORDER BY doc_id NULLS LAST, p) AS first FROM w),
+gone AS (SELECT DISTINCT k, unnest(range(p, p + {LINES})) AS i FROM f WHERE first <> k || ':' || p),
+parts AS (SELECT k, doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM docs),
+kept AS (SELECT q.k, q.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(q.x, chr(10) ORDER BY q.i) FILTER (WHERE g.i IS NULL) AS text
+         FROM parts q LEFT JOIN gone g ON q.k = g.k AND q.i = g.i GROUP BY q.k, q.doc_id)
+SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept""",
     "op10_url_filter": r"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
