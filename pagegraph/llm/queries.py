@@ -13,6 +13,7 @@ from pagegraph.llm.exact_dedup import exact_dedup
 from pagegraph.llm.language_id import language_id
 from pagegraph.llm.line_dedup import LINES, line_dedup
 from pagegraph.llm.mixing import DRAWS, SEED, SPACE, STEP, mixing_plan
+from pagegraph.llm.repeats import repeat_dedup
 from pagegraph.llm.simhash import simhash_components
 from pagegraph.llm.token_planes import token_planes
 from pagegraph.llm.url_filter import url_filter
@@ -65,6 +66,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "item_ids")
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_planes": op6_token_planes,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_url_filter": op10_url_filter,
 }
 
