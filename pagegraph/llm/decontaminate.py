@@ -199,7 +199,6 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def flagged(docs: DataFrame, items: DataFrame, text: str = "text", answer: str | None = None) -> DataFrame:
     """docs with contaminated, and item_ids in ascending order."""
-    out = docs
     kept = [c for c in docs.columns if c.lower() not in ("contaminated", "item_ids")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.array().cast("array<bigint>").alias("item_ids"))
     for index in indexes(items, answer=answer):
@@ -219,4 +218,5 @@ def flagged(docs: DataFrame, items: DataFrame, text: str = "text", answer: str |
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", answer: str | None = None) -> DataFrame:
     """The documents without any verified test item, with their columns."""
-    return flagged(docs, items, text, answer).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_whole"))
+    return flagged(rows, items, "_whole", answer).where(~F.col("contaminated")).select("_row.*")

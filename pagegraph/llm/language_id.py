@@ -40,6 +40,8 @@ BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 20_000
 #: Gap between the two best scores below which a text is flagged.
 AMBIGUOUS = 0.2
+#: Score below which ``accepted`` rejects a text: a text in equal parts of two languages has about half for each.
+REJECTED = 0.4
 #: Added to each count; steepness of the softmax.
 SMOOTH, STEEP = 0.5, 6.0
 UNDETERMINED = "und"
@@ -196,3 +198,9 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     model = learn(docs, doc_id, text, lang)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     return with_language(rows, model).drop("text")
+
+
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose language is known: not undetermined, and with a score of REJECTED at least."""
+    rows = with_language(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_whole")), learn(docs, doc_id, text, lang), "_whole")
+    return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= REJECTED)).select("_row.*")

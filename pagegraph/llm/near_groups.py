@@ -193,7 +193,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     linked = components(links)
     least = linked.join(each.select("node", "keep"), "node").groupBy("component").agg(F.min("keep").alias("keep_id"))
     of_node = linked.join(least, "component").select("node", "keep_id")
-    return each.join(of_node, "node", "left").select("key", F.coalesce("keep_id", "keep").alias("keep_id"))
+    return cut(each.join(of_node, "node", "left").select("key", F.coalesce("keep_id", "keep").alias("keep_id")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -166,5 +166,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id"
     linked = components(near_links(each.select("fp"), wide)).withColumnRenamed("node", "fp")
     least = linked.join(each, "fp").groupBy("component").agg(F.min("node").alias("component_id"))
     of_print = linked.join(least, "component").select("fp", "component_id")
-    known = each.join(of_print, "fp", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    # Written out, so that both sides of the last join come straight from an exchange, which Spark can split where a fingerprint is hot.
+    known = cut(each.join(of_print, "fp", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")))
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
