@@ -82,7 +82,8 @@ def layout_tables(blocks: DataFrame) -> DataFrame:
     words = kids.join(blocks.where("block_type in ('WORD', 'SELECTION_ELEMENT')").select("page_number", "id", "text"), ["page_number", "id"])
     text = words.groupBy("page_number", "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("cell"))
     cells = blocks.where("block_type = 'CELL'").select("page_number", "id", "row_index", "column_index")
-    owned = kids.select("page_number", F.col("parent").alias("table_id"), "id").join(cells, ["page_number", "id"]).join(text, (F.col("id") == F.col("parent")) & (text["page_number"] == cells["page_number"]), "left").drop(text["page_number"], "parent")
+    filled = cells.join(text.withColumnRenamed("parent", "id"), ["page_number", "id"], "left")
+    owned = kids.select("page_number", F.col("parent").alias("table_id"), "id").join(filled, ["page_number", "id"])
     rows = owned.groupBy("page_number", "table_id", "row_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_index", F.coalesce("cell", F.lit("")).alias("cell")))), lambda x: x["cell"]).alias("cells"))
     return rows.groupBy("page_number", "table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "cells"))), lambda x: x["cells"]).alias("rows"))
 
