@@ -207,7 +207,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """key, first and last byte + 1 of stretches to remove (they may overlap), of docs (key, text)."""
     anchors = cut(_anchors(docs))
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    near = cut(anchors.join(grams.select("gram", (F.col("a") == F.col("b")).alias("alike")), "gram"))
+    # Written out, so that both sides of the join come straight from an exchange and Spark can split a gram of very many places.
+    grams = cut(grams.select("gram", (F.col("a") == F.col("b")).alias("alike")))
+    near = cut(anchors.join(grams, "gram"))
     contexts = near.where(~F.col("alike")).groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one"))
     contexts = cut(contexts.select("gram", "context", "n", "one.key", "one.spot"))
     by_gram = contexts.groupBy("gram").agg(F.count("*").alias("others"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
