@@ -353,3 +353,56 @@ def stream_cost(spark, sf_dir):
     from pagegraph.plans.stream import streamed_cost
 
     return streamed_cost(spark, sf_dir)
+
+
+@query("""SELECT event_id, CASE WHEN n >= 1000000 THEN printf('%.2fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fk', n / 1000.0) ELSE CAST(n AS STRING) END AS tokens,
+ CASE WHEN usd <= 0 THEN '$0.000000' WHEN usd < 0.0001 THEN printf('$%.6f', usd) ELSE printf('$%.4f', usd) END AS cost, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS STRING) ELSE event_id || '–' || (event_id + 2) END AS pages
+FROM (SELECT event_id, event_id * 128 AS n, CAST(event_id AS DOUBLE) / 65537 AS usd FROM events)""")
+def display_formats(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    last = F.when(k % 3 == 0, k).otherwise(k + 2)
+    return e.select("event_id", text.format_tokens(k * 128).alias("tokens"), text.format_cost(k.cast("double") / 65537).alias("cost"), text.page_label(k, last).alias("pages"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'document' WHEN 3 THEN 'audio' WHEN 4 THEN 'video' ELSE 'download' END AS kind FROM pages""")
+def file_kinds(spark, sf_dir):
+    k = F.col("page_id")
+    name = F.when(k % 6 == 0, "a.PDF").when(k % 6 == 1, "b.bin").when(k % 6 == 2, "c.docx").when(k % 6 == 3, "d.mp3").otherwise("noext")
+    mime = F.when(k % 6 == 1, "image/png").when(k % 6 == 4, "video/mp4")
+    return table(spark, sf_dir, "pages").select("page_id", text.file_kind(name, mime).alias("kind"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, CAST(length(text) AS BIGINT) AS length, NULL::VARCHAR AS error FROM documents")
+def inference_stub(spark, sf_dir):
+    from pagegraph.operators.inference import infer
+
+    got = infer(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    j = F.from_json("answer", "digest string, length bigint")
+    return got.select("doc_id", j["digest"].alias("digest"), j["length"].alias("length"), "error")
+
+
+@query("""WITH j AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'queued' WHEN o_orderkey % 3 = 1 THEN 'processing' ELSE 'completed' END AS status FROM orders)
+SELECT o_orderkey, CASE WHEN status IN ('queued', 'processing') THEN 'queued' ELSE status END AS status FROM j""")
+def restart_recovery(spark, sf_dir):
+    k = F.col("o_orderkey")
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, "queued").when(k % 3 == 1, "processing").otherwise("completed").alias("status"))
+    return store.recovered(jobs)
+
+
+@query("""WITH s AS (SELECT user_id AS job_id, event_id AS seq, ts, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT CAST(job_id AS BIGINT) AS job_id, seq, before, status FROM s WHERE before IS NOT NULL AND before <> status""")
+def status_transitions(spark, sf_dir):
+    from pagegraph.streaming.costs import transitions
+
+    states = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("status"))
+    return transitions(states).select("job_id", "seq", "before", "status")
+
+
+@query("""WITH w AS (SELECT file_id, doc_pos, row_number() OVER (PARTITION BY file_id, iso[1:7] ORDER BY iso DESC, doc_pos DESC) AS n, bucket, author FROM {d} d)
+SELECT file_id, doc_pos, bucket, author FROM w WHERE n = 1""")
+def artifact_upsert(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("month", F.substring("iso", 1, 7))
+    half = F.col("doc_pos") % 2 == 0
+    got = store.latest(d.where(half).unionByName(d.where(~half)), ["file_id", "month"], F.col("iso").desc(), F.col("doc_pos").desc())
+    return got.select("file_id", "doc_pos", "bucket", "author")

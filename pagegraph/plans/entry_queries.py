@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegraph.functions.text import normalize_key
 from pagegraph.operators import entries as E
-from pagegraph.operators import evaluation, linkage, segments
+from pagegraph.operators import evaluation, headers, healing, linkage, segments
 from pagegraph.plans.shapes import shape, shape_sql
 from pagegraph.session import table
 
@@ -255,3 +256,27 @@ def page_coverage(spark, sf_dir):
     counts = e.groupBy("file_id").agg(F.max("page_number").alias("page_count"))
     got = e.where("include").select("file_id", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
     return evaluation.missing_pages(got, counts)
+
+
+@query()
+def heal_documents(spark, sf_dir):
+    """Documents of orders, with what they say of themselves, healed."""
+    e = _by_order(spark, sf_dir)
+    docs = segments.segment_documents(e)
+    more = e.groupBy("file_id", "segment").agg(F.array_join(F.array_sort(F.collect_set(normalize_key(F.col("date")))), "|").alias("signature"), F.max(F.col("kind") == "imaging").alias("has_imaging"), F.min_by("marker_index", "entry_seq").alias("_i"), F.max("recipient").alias("recipient"))
+    ready = docs.join(more, ["file_id", "segment"]).withColumn("opens_printed", F.lit(False))
+    return healing.heal_documents(ready).select("file_id", "segment", "document")
+
+
+@query("""WITH n AS (SELECT file_id, entry_seq, unnest([author, recipient]) AS name, title FROM {e} e), m AS (SELECT * FROM n WHERE name IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY entry_seq) AS k FROM m)
+SELECT file_id, name, count(*) AS n, list(entry_seq ORDER BY entry_seq) FILTER (WHERE k <= 6) AS places FROM r GROUP BY ALL""")
+def name_variants(spark, sf_dir):
+    return headers.name_variants(_entries(spark, sf_dir).withColumn("raw_text_excerpt", F.col("title"))).select("file_id", "name", "n", "places")
+
+
+@query("""WITH e AS (SELECT *, entry_seq <= 3 AS first FROM {e} e), a AS (SELECT file_id, min_by(author, entry_seq) FILTER (WHERE first AND author IS NOT NULL) AS author, min_by(title, entry_seq) FILTER (WHERE first AND title IS NOT NULL) AS title FROM e GROUP BY 1),
+ca AS (SELECT file_id, author, count(*) AS n, min(entry_seq) AS f FROM e WHERE author IS NOT NULL GROUP BY ALL), ma AS (SELECT file_id, arg_max(author, (n, -f)) AS author FROM ca GROUP BY 1),
+ct AS (SELECT file_id, title, count(*) AS n, min(entry_seq) AS f FROM e WHERE title IS NOT NULL GROUP BY ALL), mt AS (SELECT file_id, arg_max(title, (n, -f)) AS title FROM ct GROUP BY 1)
+SELECT a.file_id, coalesce(a.author, ma.author) AS author, coalesce(a.title, mt.title) AS title FROM a LEFT JOIN ma ON a.file_id = ma.file_id LEFT JOIN mt ON a.file_id = mt.file_id""")
+def header_fields(spark, sf_dir):
+    return headers.header_fields(_entries(spark, sf_dir), ["file_id"], ["author", "title"], "entry_seq", F.col("entry_seq") <= 3)
