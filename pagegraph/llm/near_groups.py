@@ -10,10 +10,11 @@ verified links make groups. Equal texts are one text before all this.
 A pair of similarity 0.8 shares a variant with probability 0.89, one of 0.85 with 0.97, of 0.9 with 0.996. For
 more than about 50 million texts, SEGMENT_BITS should grow with the logarithm of their number, and WORDS with it.
 
-A variant of more than WIDE texts (a large family of near copies) is not turned into all its pairs: each text
-goes on with the least text and its NEAREST others by sketch, among the WINDOW next to it in the order of
-sketches. Groups are transitive, so a family holds together by these links; a pair that only a dropped link
-joins would be missed.
+Pairs whose texts are linked already need no link of their own. So variants of more than FEW texts first give each
+text with the least one, and once the links from these have made groups, only pairs between groups. A variant of
+more than WIDE texts (a very large family of near copies) is not turned into all its pairs even then: each text goes
+on with its NEAREST texts of other groups by sketch, among the WINDOW next to it in the order of sketches. Groups are
+transitive, so a family holds together by these links; a pair that only a dropped link joins would be missed.
 
 Edge cases: texts without words are alike; a text of fewer words than a shingle has one of all its words. In a
 group the least doc_id stays, null last; rows with the same doc_id and text are one document and stay together.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm._bytes import shingles_of, slices, words_of, xxh64
+from pagegraph.llm._bytes import ragged, shingles_of, slices, words_of, xxh64
 from pagegraph.llm._shared import cut, small, text_of
 from pagegraph.llm.components import components
 from pagegraph.llm.simhash import SEED, fingerprints_of
@@ -43,10 +44,11 @@ SKETCH_BITS = 34
 #: Differing bits up to which a candidate goes on: of the sketch, and of the whole fingerprint.
 SKETCH_MOST = 11
 WHOLE_MOST = 66
-WIDE, NEAREST, WINDOW = 64, 8, 1024
+FEW, WIDE, NEAREST, WINDOW = 8, 64, 8, 1024
 #: Texts whose shingles are fetched by broadcast of their ids; more of them by a shuffled join.
 FETCHED_ROWS = 100_000
 
+_SKETCH = (1 << SKETCH_BITS) - 1
 _PRINTS = [f"f{k}" for k in range(WORDS + 1)]
 
 
@@ -78,7 +80,7 @@ def wide_prints(rows: DataFrame) -> DataFrame:
 
 
 def _variants(prints: DataFrame) -> DataFrame:
-    """packed (variant and segment above, then the blanked bit and the sketch) and node."""
+    """packed (variant and segment above, then the blanked bit and the sketch), node and group."""
     per = PER_WORD * SEGMENT_BITS
     n, v = WORDS * per, F.col("v")
     shift = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(SEGMENT_BITS)))
@@ -87,67 +89,94 @@ def _variants(prints: DataFrame) -> DataFrame:
     key = F.call_function("shiftleft", v.cast("bigint"), F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(shift)))
     bit = F.when(segment.bitwiseAND(shift) != 0, F.lit(1 << SKETCH_BITS)).otherwise(F.lit(0).cast("bigint"))
     sketch = F.col(_PRINTS[WORDS]).bitwiseAND((1 << SKETCH_BITS) - 1)
-    rows = prints.select("node", *_PRINTS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
-    return rows.select(F.call_function("shiftleft", key, F.lit(SKETCH_BITS + 1)).bitwiseOR(bit).bitwiseOR(sketch).alias("packed"), "node")
+    rows = prints.select("node", "group", *_PRINTS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
+    return rows.select(F.call_function("shiftleft", key, F.lit(SKETCH_BITS + 1)).bitwiseOR(bit).bitwiseOR(sketch).alias("packed"), "node", "group")
 
 
-def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of nodes within groups that begin and have sizes as told."""
-    mask, flag = (1 << SKETCH_BITS) - 1, 1 << SKETCH_BITS
-    first_variant = (packed >> (SKETCH_BITS + 1 + SEGMENT_BITS)) % SEGMENT_BITS == 0
+def _alike(packed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of one variant are close by sketch, and this is the variant that speaks for them."""
+    differ = packed[a] ^ packed[b]
+    # Segments that are equal share all their variants; the first one counts.
+    first_variant = (packed[a] >> (SKETCH_BITS + 1 + SEGMENT_BITS)) % SEGMENT_BITS == 0
+    return (np.bitwise_count(differ & _SKETCH) <= SKETCH_MOST) & (((differ & (1 << SKETCH_BITS)) != 0) | first_variant)
 
-    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = packed[a] ^ packed[b]
-        # Segments that are equal share all their variants; the first one speaks for them.
-        return (np.bitwise_count(differ & mask) <= SKETCH_MOST) & (((differ & flag) != 0) | first_variant[a])
 
-    few = (size > 1) & (size <= WIDE)
-    at = np.repeat(begin[few] + size[few], size[few])
-    left = np.concatenate([np.zeros(0, np.int64), *([np.arange(b, b + s) for b, s in zip(begin[few].tolist(), size[few].tolist(), strict=True)])]).astype(np.int64)
+def _all_pairs(packed: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows within groups, each pair of a group compared."""
+    at, end = ragged(begin, size), np.repeat(begin + size, size)
     step = 1
-    while len(left):
-        live = left + step < at
-        left, at = left[live], at[live]
-        found = alike(left, left + step)
-        yield node[left[found]], node[left[found] + step]
+    while len(at):
+        live = at + step < end
+        at, end = at[live], end[live]
+        found = _alike(packed, at, at + step)
+        yield at[found], at[found] + step
         step += 1
-    for b, s in zip(begin[size > WIDE].tolist(), size[size > WIDE].tolist(), strict=True):
-        order = b + np.argsort(packed[b : b + s] & mask, kind="stable")
-        least = b + int(np.argmin(node[b : b + s]))
-        hit = order[alike(order, np.full(s, least)) & (order != least)]
-        yield node[hit], np.full(len(hit), node[least])
-        for lo in range(0, s, 256):
-            mine, others = order[lo : lo + 256], order[max(0, lo - WINDOW) : lo + 256 + WINDOW]
-            gap = np.bitwise_count((packed[mine][:, None] ^ packed[others][None, :]) & mask).astype(np.int16)
-            gap[mine[:, None] == others[None, :]] = 999
-            best = np.argpartition(gap, min(NEAREST, gap.shape[1] - 1), axis=1)[:, :NEAREST]
-            a, c = np.repeat(mine, best.shape[1]), others[best.ravel()]
-            found = (a != c) & alike(a, c)
-            yield node[a[found]], node[c[found]]
-
-
-def candidates(prints: DataFrame) -> DataFrame:
-    """a < b: pairs of nodes that share a variant and are close by sketch; prints: node and the fingerprint's words."""
+
+
+def _to_least(packed: np.ndarray, node: np.ndarray, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group that are close to its least node, and that one."""
+    rows = np.arange(begin, begin + size)
+    least = np.full(size, begin + int(np.argmin(node[begin : begin + size])))
+    found = _alike(packed, rows, least) & (rows != least)
+    return rows[found], least[found]
+
+
+def _nearest(packed: np.ndarray, group: np.ndarray, begin: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row of a large group with the nearest rows of other groups (column group) around it in the order of sketches."""
+    order = begin + np.argsort(packed[begin : begin + size] & _SKETCH, kind="stable")
+    for lo in range(0, size, 256):
+        mine, others = order[lo : lo + 256], order[max(0, lo - WINDOW) : lo + 256 + WINDOW]
+        gap = np.bitwise_count((packed[mine][:, None] ^ packed[others][None, :]) & _SKETCH).astype(np.int16)
+        gap[group[mine][:, None] == group[others][None, :]] = 999
+        best = np.argpartition(gap, min(NEAREST, gap.shape[1] - 1), axis=1)[:, :NEAREST]
+        a, c = np.repeat(mine, best.shape[1]), others[best.ravel()]
+        found = (group[a] != group[c]) & _alike(packed, a, c)
+        yield a[found], c[found]
+
+
+def candidates(prints: DataFrame, again: bool = False) -> DataFrame:
+    """a < b: pairs of nodes that share a variant and are close by sketch; prints: node, group and the fingerprint's words.
+
+    At first, variants of up to FEW texts give all their pairs, and larger ones each text with the least one, and, as a
+    pair with itself, each of their texts. These are looked at again when the links so far have made groups: then
+    pairs within a group are settled, and variants of up to WIDE texts give all others.
+    """
+
+    def pairs_of(packed: np.ndarray, node: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        most = WIDE if again else FEW
+        few = (size > 1) & (size <= most)
+        for a, b in _all_pairs(packed, begin[few], size[few]):
+            other = group[a] != group[b]
+            yield node[a[other]], node[b[other]]
+        for at, n in zip(begin[size > most].tolist(), size[size > most].tolist(), strict=True):
+            a, b = _to_least(packed, node, at, n)
+            other = group[a] != group[b]
+            yield node[a[other]], node[b[other]]
+            if again:
+                for a, b in _nearest(packed, group, at, n):
+                    yield node[a], node[b]
+            else:
+                yield node[at : at + n], node[at : at + n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64) for _ in range(3)]
 
-        def out(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = list(_near(packed, node, begin, size))
+        def out(columns: list[np.ndarray], begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            pairs = list(pairs_of(*columns, begin, size))
             a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
-            held, nodes = np.concatenate([held, batch.column(0).to_numpy()]), np.concatenate([nodes, batch.column(1).to_numpy()])
-            key = held >> (SKETCH_BITS + 1)
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            key = held[0] >> (SKETCH_BITS + 1)
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             if len(begin) > 1:
-                yield from out(held, nodes, begin[:-1], np.diff(begin))
-                held, nodes = held[begin[-1] :], nodes[begin[-1] :]
-        if len(held):
-            yield from out(held, nodes, np.zeros(1, np.int64), np.array([len(held)]))
+                yield from out(held, begin[:-1], np.diff(begin))
+                held = [h[begin[-1] :] for h in held]
+        if len(held[0]):
+            yield from out(held, np.zeros(1, np.int64), np.array([len(held[0])]))
 
     rows = _variants(prints).repartition(F.shiftright("packed", SKETCH_BITS + 1)).sortWithinPartitions("packed")
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -171,13 +200,9 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, set array<int>")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (hash of the text) and keep_id (the doc_id that stays) of every distinct text."""
-    rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
-    each = cut(each.withColumn("node", F.coalesce("keep", "key")))
+def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole fingerprints are close and whose shingles are similar."""
     prints = each.select("node", *_PRINTS)
-    pairs = candidates(prints)
     for side in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}{f}") for f in _PRINTS]), side)
     gap = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in _PRINTS), F.lit(0))
@@ -189,8 +214,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("two")), "b")
     shared = F.size(F.array_intersect("one", "two"))
     union = F.size("one") + F.size("two") - shared
-    links = both.where((union == 0) | (shared >= F.lit(SIMILAR) * union)).select("a", "b")
+    return cut(both.where((union == 0) | (shared >= F.lit(SIMILAR) * union)).select("a", "b"))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """key (hash of the text) and keep_id (the doc_id that stays) of every distinct text."""
+    rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
+    each = cut(each.withColumn("node", F.coalesce("keep", "key")))
+    found = cut(candidates(each.withColumn("group", F.col("node"))))
+    links = _verified(found.where("a <> b"), each, rows)
     linked = components(links)
+    crowded = found.where("a = b").select(F.col("a").alias("node")).distinct()
+    if not crowded.isEmpty():
+        grouped = each.join(crowded, "node").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        links = links.union(_verified(candidates(grouped, again=True), each, rows))
+        linked = components(links)
     least = linked.join(each.select("node", "keep"), "node").groupBy("component").agg(F.min("keep").alias("keep_id"))
     of_node = linked.join(least, "component").select("node", "keep_id")
     return cut(each.join(of_node, "node", "left").select("key", F.coalesce("keep_id", "keep").alias("keep_id")))
