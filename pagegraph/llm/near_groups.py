@@ -60,8 +60,15 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _distinct(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, and how many; ``hashes`` has ``count`` of each text."""
+    ends = np.cumsum(count)
+    sets = [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
+    return np.concatenate([hashes[:0], *sets]), np.array([len(s) for s in sets], np.int64)
+
+
 def wide_prints(rows: DataFrame) -> DataFrame:
-    """rows (key, doc_id, text) as key, doc_id and the fingerprint's words."""
+    """rows (key, doc_id, text) as key, doc_id and the words of the fingerprint of its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +76,7 @@ def wide_prints(rows: DataFrame) -> DataFrame:
             for at, to in slices(texts):
                 words = words_of(texts.slice(at, to - at), lower=True)
                 start, end, count = shingles_of(words, SHINGLE)
-                h = xxh64(words.data, start, end, SEED)
+                h, count = _distinct(xxh64(words.data, start, end, SEED), count)
                 for k, part in enumerate(parts):
                     part.append(fingerprints_of(_spread(h, k), count))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.concatenate(p).view(np.int64)) for p in parts]], ["key", "doc_id", *_PRINTS])

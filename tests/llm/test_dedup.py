@@ -161,3 +161,13 @@ def test_near(spark):
     assert kept == sorted([*range(12), 21, *range(48, 52)])
     assert near_dedup(frame(spark, rows)).columns == ["doc_id", "text", "fp", "copies"]
     assert near_dedup(frame(spark, [])).count() == 0
+
+
+def test_near_repeated_line(spark):
+    # The same distinct shingles but for a few; one text of each pair has a line of 25 words forty times.
+    r = random.Random(10)
+    base = [words(r, 400, 100_000) for _ in range(20)]
+    lines = [words(r, 25, 100_000) for _ in base]
+    rows = [(i, f"{t}\n{x}") for i, (t, x) in enumerate(zip(base, lines, strict=True))]
+    rows += [(100 + i, f"{t}\n" + "\n".join([x] * 40)) for i, (t, x) in enumerate(zip(base, lines, strict=True))]
+    assert sorted(x.doc_id for x in near_dedup(frame(spark, rows)).collect()) == list(range(20))
