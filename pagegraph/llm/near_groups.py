@@ -10,10 +10,10 @@ verified links make groups. Equal texts are one text before all this.
 A pair of similarity 0.8 shares a variant with probability 0.89, one of 0.85 with 0.97, of 0.9 with 0.996. For
 more than about 50 million texts, SEGMENT_BITS should grow with the logarithm of their number, and WORDS with it.
 
-A variant of more than WIDE texts (a large family of near copies) is not turned into all its pairs: each text
-goes on with the least text and its NEAREST others by sketch, among the WINDOW next to it in the order of
-sketches. Groups are transitive, so a family holds together by these links; a pair that only a dropped link
-joins would be missed.
+In a variant of more than WIDE texts (a large family of near copies), each text is first compared with the least
+text only. When the links so far have made groups, these variants are looked at again, and every pair of texts of
+different groups that passes the tests of sketch and fingerprint is verified. Pairs within a group need no link of
+their own, so the groups are those that all pairs would make.
 
 Edge cases: texts without words are alike; a text of fewer words than a shingle has one of all its words. In a
 group the least doc_id stays, null last; rows with the same doc_id and text are one document and stay together.
@@ -43,7 +43,8 @@ SKETCH_BITS = 34
 #: Differing bits up to which a candidate goes on: of the sketch, and of the whole fingerprint.
 SKETCH_MOST = 11
 WHOLE_MOST = 66
-WIDE, NEAREST, WINDOW = 64, 8, 1024
+#: Texts that share a variant up to which each pair of them is a candidate at once; side of the tiles in which more are compared.
+WIDE, SIDE = 64, 512
 #: Texts whose shingles are fetched by broadcast of their ids; more of them by a shuffled join.
 FETCHED_ROWS = 100_000
 
@@ -84,8 +85,8 @@ def wide_prints(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, " + ", ".join(f"{f} long" for f in _PRINTS))
 
 
-def _variants(prints: DataFrame) -> DataFrame:
-    """packed (variant and segment above, then the blanked bit and the sketch) and node."""
+def _variants(prints: DataFrame, *more: str) -> DataFrame:
+    """packed (variant and segment above, then the blanked bit and the sketch), node and the columns ``more``."""
     per = PER_WORD * SEGMENT_BITS
     n, v = WORDS * per, F.col("v")
     shift = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(SEGMENT_BITS)))
@@ -94,12 +95,12 @@ def _variants(prints: DataFrame) -> DataFrame:
     key = F.call_function("shiftleft", v.cast("bigint"), F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(shift)))
     bit = F.when(segment.bitwiseAND(shift) != 0, F.lit(1 << SKETCH_BITS)).otherwise(F.lit(0).cast("bigint"))
     sketch = F.col(_PRINTS[WORDS]).bitwiseAND((1 << SKETCH_BITS) - 1)
-    rows = prints.select("node", *_PRINTS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
-    return rows.select(F.call_function("shiftleft", key, F.lit(SKETCH_BITS + 1)).bitwiseOR(bit).bitwiseOR(sketch).alias("packed"), "node")
+    rows = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
+    return rows.select(F.call_function("shiftleft", key, F.lit(SKETCH_BITS + 1)).bitwiseOR(bit).bitwiseOR(sketch).alias("packed"), "node", *more)
 
 
-def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of nodes within groups that begin and have sizes as told."""
+def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of nodes within groups that begin and have sizes as told; each node of a wide one also with itself."""
     mask, flag = (1 << SKETCH_BITS) - 1, 1 << SKETCH_BITS
     first_variant = (packed >> (SKETCH_BITS + 1 + SEGMENT_BITS)) % SEGMENT_BITS == 0
 
@@ -108,7 +109,7 @@ def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndar
         # Segments that are equal share all their variants; the first one speaks for them.
         return (np.bitwise_count(differ & mask) <= SKETCH_MOST) & (((differ & flag) != 0) | first_variant[a])
 
-    few = (size > 1) & (size <= WIDE)
+    few = (size > 1) & (size <= wide)
     at = np.repeat(begin[few] + size[few], size[few])
     left = np.concatenate([np.zeros(0, np.int64), *([np.arange(b, b + s) for b, s in zip(begin[few].tolist(), size[few].tolist(), strict=True)])]).astype(np.int64)
     step = 1
@@ -118,46 +119,102 @@ def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndar
         found = alike(left, left + step)
         yield node[left[found]], node[left[found] + step]
         step += 1
-    for b, s in zip(begin[size > WIDE].tolist(), size[size > WIDE].tolist(), strict=True):
-        order = b + np.argsort(packed[b : b + s] & mask, kind="stable")
+    for b, s in zip(begin[size > wide].tolist(), size[size > wide].tolist(), strict=True):
+        all_of = np.arange(b, b + s)
         least = b + int(np.argmin(node[b : b + s]))
-        hit = order[alike(order, np.full(s, least)) & (order != least)]
+        hit = all_of[alike(all_of, np.full(s, least))]
         yield node[hit], np.full(len(hit), node[least])
-        for lo in range(0, s, 256):
-            mine, others = order[lo : lo + 256], order[max(0, lo - WINDOW) : lo + 256 + WINDOW]
-            gap = np.bitwise_count((packed[mine][:, None] ^ packed[others][None, :]) & mask).astype(np.int16)
-            gap[mine[:, None] == others[None, :]] = 999
-            best = np.argpartition(gap, min(NEAREST, gap.shape[1] - 1), axis=1)[:, :NEAREST]
-            a, c = np.repeat(mine, best.shape[1]), others[best.ravel()]
-            found = (a != c) & alike(a, c)
-            yield node[a[found]], node[c[found]]
-
-
-def candidates(prints: DataFrame) -> DataFrame:
-    """a < b: pairs of nodes that share a variant and are close by sketch; prints: node and the fingerprint's words."""
+        yield node[all_of], node[all_of]
+
+
+def _between(variant: int, node: np.ndarray, group: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one variant that are of different groups and close, if this is the first variant they share."""
+    order = np.argsort(group, kind="stable")
+    node, group, prints = node[order], group[order], prints[order]
+    sketch = prints[:, WORDS] & np.uint64((1 << SKETCH_BITS) - 1)
+    here, blank = divmod(variant, SEGMENT_BITS)
+    for i in range(0, len(node), SIDE):
+        for j in range(i, len(node), SIDE):
+            one, two = slice(i, i + SIDE), slice(j, j + SIDE)
+            if group[i] == group[two][-1]:
+                continue
+            close = (group[one][:, None] != group[two][None, :]) & (np.bitwise_count(sketch[one][:, None] ^ sketch[two][None, :]) <= SKETCH_MOST)
+            x, y = np.nonzero(np.triu(close) if i == j else close)
+            x, y = x + i, y + j
+            differ = prints[x] ^ prints[y]
+            found = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= WHOLE_MOST
+            for k in range(here + 1):
+                word, place = divmod(k, PER_WORD)
+                segment = (differ[:, word] >> np.uint64(place * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)
+                found &= (np.bitwise_count(segment) > 1) if k < here else (segment != 0) | (blank == 0)
+            yield node[x[found]], node[y[found]]
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _by_variant(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of rows sorted by packed, with begin and size of each variant in them; no variant is torn."""
+    parts, last = [], None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        key = columns[0] >> (SKETCH_BITS + 1)
+        whole = int(np.searchsorted(key, key[-1]))
+        if whole or key[-1] != last:
+            yield from _cut_up([*parts, [c[:whole] for c in columns]])
+            parts, last = [], key[-1]
+        parts.append([c[whole:] for c in columns])
+    yield from _cut_up(parts)
+
+
+def _cut_up(parts: list[list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    if columns and len(columns[0]):
+        key = columns[0] >> (SKETCH_BITS + 1)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        yield columns, begin, np.diff(np.append(begin, len(key)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.shiftright("packed", SKETCH_BITS + 1)).sortWithinPartitions("packed")
+
+
+def candidates(prints: DataFrame, wide: int = WIDE) -> DataFrame:
+    """a <= b: pairs of nodes that share a variant and are close by sketch; prints: node and the fingerprint's words.
+
+    Variants of more than ``wide`` nodes give pairs with their least node only, and, as a pair with itself, each node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = list(_near(packed, node, begin, size))
+        for (packed, node), begin, size in _by_variant(batches):
+            pairs = list(_near(packed, node, begin, size, wide))
             a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+                yield _batch(both[:, 0], both[:, 1])
 
-        for batch in batches:
-            held, nodes = np.concatenate([held, batch.column(0).to_numpy()]), np.concatenate([nodes, batch.column(1).to_numpy()])
-            key = held >> (SKETCH_BITS + 1)
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            if len(begin) > 1:
-                yield from out(held, nodes, begin[:-1], np.diff(begin))
-                held, nodes = held[begin[-1] :], nodes[begin[-1] :]
-        if len(held):
-            yield from out(held, nodes, np.zeros(1, np.int64), np.array([len(held)]))
+    return _dealt(_variants(prints)).mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_between(crowded: DataFrame, wide: int = WIDE) -> DataFrame:
+    """a < b: all pairs of nodes of different groups in variants of more than ``wide`` nodes, close by sketch and fingerprint.
 
-    rows = _variants(prints).repartition(F.shiftright("packed", SKETCH_BITS + 1)).sortWithinPartitions("packed")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    crowded: node, group and the fingerprint's words of every node in such a variant.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (packed, node, group, *words), begin, size in _by_variant(batches):
+            for b, s in zip(begin[size > wide].tolist(), size[size > wide].tolist(), strict=True):
+                own = slice(b, b + s)
+                prints = np.stack([w[own].view(np.uint64) for w in words], axis=1)
+                for x, y in _between(int(packed[b] >> (SKETCH_BITS + 1 + SEGMENT_BITS)), node[own], group[own], prints):
+                    if len(x):
+                        yield _batch(x, y)
+
+    return _dealt(_variants(crowded, "group", *_PRINTS)).mapInArrow(run, "a long, b long")
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
@@ -178,17 +235,17 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, set array<int>")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (hash of the text) and keep_id (the doc_id that stays) of every distinct text."""
-    rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
-    each = cut(each.withColumn("node", F.coalesce("keep", "key")))
-    prints = each.select("node", *_PRINTS)
-    pairs = candidates(prints)
+def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs whose whole fingerprints are close."""
     for side in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}{f}") for f in _PRINTS]), side)
     gap = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in _PRINTS), F.lit(0))
-    pairs = cut(pairs.where(gap <= WHOLE_MOST).select("a", "b"))
+    return pairs.where(gap <= WHOLE_MOST).select("a", "b")
+
+
+def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are similar."""
+    pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(wanted.join(each.select("node", "key", "keep"), "node"))
     texts = rows.join(small(wanted, FETCHED_ROWS), "key").where(rows["doc_id"].eqNullSafe(F.col("keep")))
@@ -196,16 +253,31 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("two")), "b")
     shared = F.size(F.array_intersect("one", "two"))
     union = F.size("one") + F.size("two") - shared
-    links = both.where((union == 0) | (shared >= F.lit(SIMILAR) * union)).select("a", "b")
+    return cut(both.where((union == 0) | (shared >= F.lit(SIMILAR) * union)).select("a", "b"))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
+    """key (hash of the text) and keep_id (the doc_id that stays) of every distinct text."""
+    rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
+    each = cut(each.withColumn("node", F.coalesce("keep", "key")))
+    prints = each.select("node", *_PRINTS)
+    found = cut(candidates(prints, wide))
+    links = _verified(_close(found.where("a <> b"), prints), each, rows)
     linked = components(links)
+    crowded = found.where("a = b").select(F.col("a").alias("node"))
+    if not crowded.isEmpty():
+        grouped = prints.join(crowded, "node").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        links = links.union(_verified(pairs_between(grouped, wide), each, rows))
+        linked = components(links)
     least = linked.join(each.select("node", "keep"), "node").groupBy("component").agg(F.min("keep").alias("keep_id"))
     of_node = linked.join(least, "component").select("node", "keep_id")
     return cut(each.join(of_node, "node", "left").select("key", F.coalesce("keep_id", "keep").alias("keep_id")))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
     """docs with one document of each group."""
-    groups = near_groups(docs, doc_id, text)
+    groups = near_groups(docs, doc_id, text, wide)
     groups = groups.select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
     stays = docs.withColumn("_key", F.xxhash64(text_of(text))).join(groups, "_key").where(F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")))
     return stays.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from pagegraph.llm import near_groups as g
 from pagegraph.llm import repeats
 from pagegraph.llm.components import components
 from pagegraph.llm.exact_dedup import exact_dedup
@@ -171,3 +173,47 @@ def test_near_repeated_line(spark):
     rows = [(i, f"{t}\n{x}") for i, (t, x) in enumerate(zip(base, lines, strict=True))]
     rows += [(100 + i, f"{t}\n" + "\n".join([x] * 40)) for i, (t, x) in enumerate(zip(base, lines, strict=True))]
     assert sorted(x.doc_id for x in near_dedup(frame(spark, rows)).collect()) == list(range(20))
+
+
+def similar_prints(texts):
+    """Pairs that share a variant and are close by sketch, fingerprint and shingles, found by comparing all."""
+    words = g.words_of(pa.array(texts), lower=True)
+    start, end, count = g.shingles_of(words, g.SHINGLE)
+    ends, h = np.cumsum(count), g.xxh64(words.data, start, end, g.SEED)
+    sets = [set(h[e - c : e].tolist()) for e, c in zip(ends, count, strict=True)]
+    flat = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    prints = np.stack([g.fingerprints_of(g._spread(flat, k), np.array([len(s) for s in sets])) for k in range(g.WORDS + 1)], axis=1)
+    for i in range(len(texts)):
+        differ = prints[i] ^ prints[i + 1 :]
+        shares = np.zeros(len(differ), bool)
+        for k in range(g.PER_WORD):
+            segment = (differ[:, : g.WORDS] >> np.uint64(k * g.SEGMENT_BITS)) & np.uint64((1 << g.SEGMENT_BITS) - 1)
+            shares |= (np.bitwise_count(segment) <= 1).any(axis=1)
+        sketch = np.bitwise_count(differ[:, g.WORDS] & np.uint64((1 << g.SKETCH_BITS) - 1)) <= g.SKETCH_MOST
+        for j in np.flatnonzero(shares & sketch & (np.bitwise_count(differ).sum(axis=1) <= g.WHOLE_MOST)) + i + 1:
+            if len(sets[i] & sets[j]) >= g.SIMILAR * len(sets[i] | sets[j]):
+                yield i, int(j)
+
+
+@pytest.mark.parametrize("more", [{}, {"wide": 3}])
+def test_near_large_family(spark, more):
+    # Texts that share most of their words but are not similar enough, each with a copy that is.
+    r = random.Random(11)
+    shared = words(r, 260, 100_000)
+    texts = [f"{shared} {words(r, 40, 100_000)}" for _ in range(500)]
+    for t in texts[:500]:
+        w = t.split()
+        w[20 : 20 + 16] = words(r, 16, 100_000).split()
+        texts.append(" ".join(w))
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in similar_prints(texts):
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = sorted({root(i) for i in range(len(texts))})
+    assert 1 < len(want) < 600
+    assert sorted(x.doc_id for x in near_dedup(frame(spark, enumerate(texts)), **more).collect()) == want
