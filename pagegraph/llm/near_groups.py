@@ -16,8 +16,7 @@ different groups that passes the tests of sketch and fingerprint is verified. Pa
 their own, so the groups are those that all pairs would make.
 
 Edge cases: texts without words are alike; a text of fewer words than a shingle has one of all its words. In a
-group the least doc_id stays, null last; rows with the same doc_id and text are one document and stay together.
-An empty table gives an empty result; all columns are kept.
+group the least doc_id stays, null last, and one row of it, also where rows are repeated or ids are null. An empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -257,7 +256,7 @@ def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
-    """key (hash of the text) and keep_id (the doc_id that stays) of every distinct text."""
+    """key (hash of the text), keep_id and keep_key (the doc_id that stays, and its text's hash) of every distinct text."""
     rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
     each = cut(each.withColumn("node", F.coalesce("keep", "key")))
@@ -270,14 +269,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         grouped = prints.join(crowded, "node").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
         links = links.union(_verified(pairs_between(grouped, wide), each, rows))
         linked = components(links)
-    least = linked.join(each.select("node", "keep"), "node").groupBy("component").agg(F.min("keep").alias("keep_id"))
-    of_node = linked.join(least, "component").select("node", "keep_id")
-    return cut(each.join(of_node, "node", "left").select("key", F.coalesce("keep_id", "keep").alias("keep_id")))
+    first = F.struct(F.col("keep").isNull().alias("last"), F.col("keep").alias("keep_id"), F.col("key").alias("keep_key"))
+    least = linked.join(each.select("node", "keep", "key"), "node").groupBy("component").agg(F.min(first).alias("first"))
+    of_node = linked.join(least, "component").select("node", "first")
+    return cut(each.join(of_node, "node", "left").withColumn("first", F.coalesce("first", first)).select("key", "first.keep_id", "first.keep_key"))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
-    """docs with one document of each group."""
-    groups = near_groups(docs, doc_id, text, wide)
+    """docs with one row of each group."""
+    groups = near_groups(docs, doc_id, text, wide).where("key = keep_key")
     groups = groups.select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
     stays = docs.withColumn("_key", F.xxhash64(text_of(text))).join(groups, "_key").where(F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")))
-    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stays.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

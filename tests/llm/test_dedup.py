@@ -217,3 +217,11 @@ def test_near_large_family(spark, more):
     want = sorted({root(i) for i in range(len(texts))})
     assert 1 < len(want) < 600
     assert sorted(x.doc_id for x in near_dedup(frame(spark, enumerate(texts)), **more).collect()) == want
+
+
+def test_near_repeated_rows(spark):
+    r = random.Random(12)
+    one, two, three = (words(r, 200, 5000) for _ in range(3))
+    rows = [(1, one), (1, one), (None, one), (None, two), (None, two), (None, f"{two} more"), (7, three), (None, None), (None, "")]
+    got = near_dedup(frame(spark, rows)).collect()
+    assert sorted((x.doc_id or 0, (x.text or "")[:40]) for x in got) == sorted([(1, one[:40]), (0, two[:40]), (7, three[:40]), (0, "")])
