@@ -3,17 +3,23 @@
 At that similarity two texts' fingerprints differ in up to one bit of six, too many for the two halves that
 ``simhash`` uses. Here a fingerprint has WORDS + 1 words of 64 bits. Of each of the first WORDS, three segments of
 SEGMENT_BITS bits are indexed under their one-wildcard variants; texts that share a variant (one segment that
-differs by at most one bit) are candidates if a sketch from the last word agrees well enough, and go on if the
-whole fingerprints do. What is left is verified by the Jaccard index of the shingle sets themselves, and the
-verified links make groups. Equal texts are one text before all this.
+differs by at most one bit) are compared by the last word, then by the whole fingerprint, and verified by the Jaccard
+index of the shingle sets themselves. The verified links make groups. Equal texts are one text before all this.
 
-A pair of similarity 0.8 shares a variant with probability 0.89, one of 0.85 with 0.97, of 0.9 with 0.996. For
-more than about 50 million texts, SEGMENT_BITS should grow with the logarithm of their number, and WORDS with it.
+A pair of similarity 0.8 shares a variant with probability 0.975, one of 0.85 with 0.997. Two unrelated texts share
+one by chance once in about 500; where there are far more than ten million texts, SEGMENT_BITS should grow with the
+logarithm of their number, and WORDS with it.
 
-In a variant of more than WIDE texts (a large family of near copies), each text is first compared with the least
-text only. When the links so far have made groups, these variants are looked at again, and every pair of texts of
-different groups that passes the tests of sketch and fingerprint is verified. Pairs within a group need no link of
-their own, so the groups are those that all pairs would make.
+Large families of near copies have pairs without end, so pairs are never rows:
+
+1. Of each word, texts with the same first segment are compared with the least one. What is verified makes groups.
+2. The texts of a variant are compared, in numpy, with those of other groups, and a row holds many pairs. A variant
+   of more than HELD texts goes on in chunks, and chunks are compared with each other.
+3. Texts are dealt into blocks of BLOCK_BYTES of shingles, pairs into tiles of two blocks. A task holds the shingles
+   of one tile, verifies its pairs, and gives one link for any two groups that it joins.
+
+No pair that shares a variant and passes the tests of the fingerprint is left out, unless its texts are in one group
+already.
 
 Edge cases: texts without words are alike; a text of fewer words than a shingle has one of all its words. In a
 group the least doc_id stays, null last, and one row of it, also where rows are repeated or ids are null. An empty table gives an empty result; all columns are kept.
@@ -25,29 +31,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm._bytes import shingles_of, slices, words_of, xxh64
-from pagegraph.llm._shared import cut, small, text_of
+from pagegraph.llm._bytes import ragged, shingles_of, slices, words_of, xxh64
+from pagegraph.llm._shared import cut, given_back, small, text_of
 from pagegraph.llm.components import components
 from pagegraph.llm.simhash import SEED, fingerprints_of
 
 SHINGLE = 5
 SIMILAR = 0.8
-WORDS = 4
+WORDS = 5
 PER_WORD = 3
-SEGMENT_BITS = 20
-SKETCH_BITS = 34
-#: Differing bits up to which a candidate goes on: of the sketch, and of the whole fingerprint.
-SKETCH_MOST = 11
-WHOLE_MOST = 66
-#: Texts that share a variant up to which each pair of them is a candidate at once; side of the tiles in which more are compared.
-WIDE, SIDE = 64, 512
+SEGMENT_BITS = 18
+#: Differing bits up to which a candidate goes on: of the last word without its top bit, and of the whole fingerprint.
+SKETCH_MOST = 18
+WHOLE_MOST = 78
+#: Texts of a variant that are compared all at once; those of a larger one go in squares of SIDE; more than HELD in chunks.
+WIDE, SIDE, HELD = 64, 512, 1 << 17
+#: Bytes of shingles of a block.
+BLOCK_BYTES = 16 << 20
+#: Pairs that are held before they are verified.
+PAIRS = 1 << 20
 #: Texts whose shingles are fetched by broadcast of their ids; more of them by a shuffled join.
 FETCHED_ROWS = 100_000
 
 _PRINTS = [f"f{k}" for k in range(WORDS + 1)]
+_LOW = (1 << 63) - 1
 
 
 def _spread(h: np.ndarray, k: int) -> np.ndarray:
@@ -68,152 +78,200 @@ def _distinct(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def wide_prints(rows: DataFrame) -> DataFrame:
-    """rows (key, doc_id, text) as key, doc_id and the words of the fingerprint of its distinct shingles."""
+    """rows (key, doc_id, text) as key, doc_id, n (distinct shingles) and the words of their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = batch.column(2), [[np.zeros(0, np.uint64)] for _ in _PRINTS]
+            texts, sizes, parts = batch.column(2), [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in _PRINTS]
             for at, to in slices(texts):
                 words = words_of(texts.slice(at, to - at), lower=True)
                 start, end, count = shingles_of(words, SHINGLE)
                 h, count = _distinct(xxh64(words.data, start, end, SEED), count)
+                sizes.append(count)
                 for k, part in enumerate(parts):
                     part.append(fingerprints_of(_spread(h, k), count))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.concatenate(p).view(np.int64)) for p in parts]], ["key", "doc_id", *_PRINTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes)), *[pa.array(np.concatenate(p).view(np.int64)) for p in parts]], ["key", "doc_id", "n", *_PRINTS])
+
+    return rows.mapInArrow(lambda b: given_back(run(b)), "key long, doc_id long, n long, " + ", ".join(f"{f} long" for f in _PRINTS))
+
+
+def _gap(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in _PRINTS), F.lit(0))
 
-    return rows.mapInArrow(run, "key long, doc_id long, " + ", ".join(f"{f} long" for f in _PRINTS))
 
+def star_pairs(prints: DataFrame) -> DataFrame:
+    """a and b: texts whose first segment in some word is equal, each with the least of them, if close by fingerprint."""
+    first = [F.col(f).bitwiseAND((1 << SEGMENT_BITS) - 1).bitwiseOR(F.lit(k << SEGMENT_BITS)) for k, f in enumerate(_PRINTS[:WORDS])]
+    rows = prints.select("node", *_PRINTS, F.explode(F.array(*first)).alias("segment"))
+    least = rows.groupBy("segment").agg(F.count("*").alias("n"), F.min(F.struct("node", *_PRINTS)).alias("least")).where("n > 1")
+    # Written out, so that both sides of the join come straight from an exchange and Spark can split a hot segment.
+    least = cut(least.select("segment", F.col("least.node").alias("a"), *[F.col(f"least.{f}").alias(f"a{f}") for f in _PRINTS]))
+    return rows.join(least, "segment").where((F.col("node") != F.col("a")) & (_gap("a", "") <= WHOLE_MOST)).select("a", F.col("node").alias("b")).distinct()
 
-def _variants(prints: DataFrame, *more: str) -> DataFrame:
-    """packed (variant and segment above, then the blanked bit and the sketch), node and the columns ``more``."""
+
+def _variants(prints: DataFrame) -> DataFrame:
+    """key (variant and segment with the bit blanked), mark (that bit, and the last word's other 63), node and group."""
     per = PER_WORD * SEGMENT_BITS
     n, v = WORDS * per, F.col("v")
-    shift = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(SEGMENT_BITS)))
+    shift = F.call_function("shiftleft", F.lit(1), F.pmod(v, F.lit(SEGMENT_BITS)))
     word = F.element_at(F.array(*_PRINTS[:WORDS]), F.floor(v / per).cast("int") + 1)
-    segment = F.call_function("shiftrightunsigned", word, F.floor(F.pmod(v, F.lit(per)) / SEGMENT_BITS).cast("int") * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
-    key = F.call_function("shiftleft", v.cast("bigint"), F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(shift)))
-    bit = F.when(segment.bitwiseAND(shift) != 0, F.lit(1 << SKETCH_BITS)).otherwise(F.lit(0).cast("bigint"))
-    sketch = F.col(_PRINTS[WORDS]).bitwiseAND((1 << SKETCH_BITS) - 1)
-    rows = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
-    return rows.select(F.call_function("shiftleft", key, F.lit(SKETCH_BITS + 1)).bitwiseOR(bit).bitwiseOR(sketch).alias("packed"), "node", *more)
+    segment = F.call_function("shiftrightunsigned", word, F.floor(F.pmod(v, F.lit(per)) / SEGMENT_BITS).cast("int") * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1).cast("int")
+    key = F.call_function("shiftleft", v, F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(shift)))
+    bit = F.when(segment.bitwiseAND(shift) != 0, F.lit(-(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rows = prints.select("node", "group", *_PRINTS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
+    return rows.select(key.alias("key"), F.col(_PRINTS[WORDS]).bitwiseAND(F.lit(_LOW)).bitwiseOR(bit).alias("mark"), "node", "group")
 
 
-def _near(packed: np.ndarray, node: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of nodes within groups that begin and have sizes as told; each node of a wide one also with itself."""
-    mask, flag = (1 << SKETCH_BITS) - 1, 1 << SKETCH_BITS
-    first_variant = (packed >> (SKETCH_BITS + 1 + SEGMENT_BITS)) % SEGMENT_BITS == 0
+def _alike(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether marks a and b under the variant ``key`` are close, and this is the first variant of an equal segment."""
+    differ = a ^ b
+    near = np.bitwise_count(differ & np.uint64(_LOW)) <= SKETCH_MOST
+    # Segments that are equal share all their variants; the first one speaks for them.
+    return near & ((differ >> np.uint64(63) != 0) | ((key >> SEGMENT_BITS) % SEGMENT_BITS == 0))
 
-    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = packed[a] ^ packed[b]
-        # Segments that are equal share all their variants; the first one speaks for them.
-        return (np.bitwise_count(differ & mask) <= SKETCH_MOST) & (((differ & flag) != 0) | first_variant[a])
 
+def _pairs_of(key: np.ndarray, mark: np.ndarray, group: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of close pairs of different groups that have the same key; rows are sorted by key."""
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
     few = (size > 1) & (size <= wide)
+    left = ragged(begin[few], size[few])
     at = np.repeat(begin[few] + size[few], size[few])
-    left = np.concatenate([np.zeros(0, np.int64), *([np.arange(b, b + s) for b, s in zip(begin[few].tolist(), size[few].tolist(), strict=True)])]).astype(np.int64)
     step = 1
     while len(left):
         live = left + step < at
         left, at = left[live], at[live]
-        found = alike(left, left + step)
-        yield node[left[found]], node[left[found] + step]
+        found = (group[left] != group[left + step]) & _alike(key[left], mark[left], mark[left + step])
+        yield left[found], left[found] + step
         step += 1
     for b, s in zip(begin[size > wide].tolist(), size[size > wide].tolist(), strict=True):
-        all_of = np.arange(b, b + s)
-        least = b + int(np.argmin(node[b : b + s]))
-        hit = all_of[alike(all_of, np.full(s, least))]
-        yield node[hit], np.full(len(hit), node[least])
-        yield node[all_of], node[all_of]
-
-
-def _between(variant: int, node: np.ndarray, group: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one variant that are of different groups and close, if this is the first variant they share."""
-    order = np.argsort(group, kind="stable")
-    node, group, prints = node[order], group[order], prints[order]
-    sketch = prints[:, WORDS] & np.uint64((1 << SKETCH_BITS) - 1)
-    here, blank = divmod(variant, SEGMENT_BITS)
-    for i in range(0, len(node), SIDE):
-        for j in range(i, len(node), SIDE):
-            one, two = slice(i, i + SIDE), slice(j, j + SIDE)
-            if group[i] == group[two][-1]:
+        own = b + np.argsort(group[b : b + s], kind="stable")
+        yield from _square(key[b], mark, group, own, own)
+
+
+def _square(key: int, mark: np.ndarray, group: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for two lists of indexes that are sorted by group, or one with itself."""
+    same = rows is columns
+    for i in range(0, len(rows), SIDE):
+        for j in range(i if same else 0, len(columns), SIDE):
+            one, two = rows[i : i + SIDE], columns[j : j + SIDE]
+            low, high = min(group[one[0]], group[two[0]]), max(group[one[-1]], group[two[-1]])
+            if low == high:
                 continue
-            close = (group[one][:, None] != group[two][None, :]) & (np.bitwise_count(sketch[one][:, None] ^ sketch[two][None, :]) <= SKETCH_MOST)
-            x, y = np.nonzero(np.triu(close) if i == j else close)
-            x, y = x + i, y + j
-            differ = prints[x] ^ prints[y]
-            found = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= WHOLE_MOST
-            for k in range(here + 1):
-                word, place = divmod(k, PER_WORD)
-                segment = (differ[:, word] >> np.uint64(place * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)
-                found &= (np.bitwise_count(segment) > 1) if k < here else (segment != 0) | (blank == 0)
-            yield node[x[found]], node[y[found]]
-
-
-def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _by_variant(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Columns of rows sorted by packed, with begin and size of each variant in them; no variant is torn."""
-    parts, last = [], None
+            close = (group[one][:, None] != group[two][None, :]) & _alike(np.int64(key), mark[one][:, None], mark[two][None, :])
+            x, y = np.nonzero(np.triu(close) if same and i == j else close)
+            if len(x):
+                yield one[x], two[y]
+
+
+class _Found:
+    """Pairs of nodes by tile, and the nodes of each tile, as record batches: kind 0 has pairs x and y, kind 1 nodes x."""
+
+    names = ["kind", "tile", "x", "y"]
+    schema = "kind int, tile long, x array<long>, y array<long>"
+
+    def __init__(self, blocks: int):
+        self.blocks, self.held, self.nodes = blocks, 0, {}
+
+    def rows(self, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(x):
+            return
+        p, q = (_spread(v.view(np.uint64), 5) % np.uint64(self.blocks) for v in (x, y))
+        tile = (np.minimum(p, q) * np.uint64(self.blocks) + np.maximum(p, q)).view(np.int64)
+        order = np.argsort(tile, kind="stable")
+        x, y, tile = x[order], y[order], tile[order]
+        begin = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        yield self._batch(0, tile[begin], begin, x, y)
+        for t, b, e in zip(tile[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(tile)], strict=True):
+            new = np.unique(np.concatenate([x[b:e], y[b:e], self.nodes.get(t, x[:0])]))
+            self.held += len(new) - len(self.nodes.get(t, ()))
+            self.nodes[t] = new
+        if self.held > PAIRS:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.nodes:
+            sizes = np.array([len(v) for v in self.nodes.values()])
+            yield self._batch(1, np.array(list(self.nodes)), np.cumsum(sizes) - sizes, np.concatenate(list(self.nodes.values())), None)
+        self.held, self.nodes = 0, {}
+
+    def _batch(self, kind: int, tile: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray | None) -> pa.RecordBatch:
+        offsets, none = pa.array(np.append(begin, len(x)).astype(np.int32)), pa.array(np.zeros(len(tile) + 1, np.int32))
+        other = pa.ListArray.from_arrays(none, pa.array([], pa.int64())) if y is None else pa.ListArray.from_arrays(offsets, pa.array(y))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(tile), kind, np.int32)), pa.array(tile), pa.ListArray.from_arrays(offsets, pa.array(x)), other], self.names)
+
+
+_CHUNK = "key int, chunk int, mark array<long>, node array<long>, group array<long>"
+
+
+def _by_variant(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[int | None, list[np.ndarray]]]:
+    """(None, columns of whole variants), or (number, columns of one chunk) of a variant of more than ``held`` rows."""
+    rest, chunk = None, 0
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(c) for c in zip(rest, columns, strict=True)]
         if not len(columns[0]):
             continue
-        key = columns[0] >> (SKETCH_BITS + 1)
-        whole = int(np.searchsorted(key, key[-1]))
-        if whole or key[-1] != last:
-            yield from _cut_up([*parts, [c[:whole] for c in columns]])
-            parts, last = [], key[-1]
-        parts.append([c[whole:] for c in columns])
-    yield from _cut_up(parts)
-
-
-def _cut_up(parts: list[list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    if columns and len(columns[0]):
-        key = columns[0] >> (SKETCH_BITS + 1)
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        yield columns, begin, np.diff(np.append(begin, len(key)))
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(F.shiftright("packed", SKETCH_BITS + 1)).sortWithinPartitions("packed")
-
-
-def candidates(prints: DataFrame, wide: int = WIDE) -> DataFrame:
-    """a <= b: pairs of nodes that share a variant and are close by sketch; prints: node and the fingerprint's words.
-
-    Variants of more than ``wide`` nodes give pairs with their least node only, and, as a pair with itself, each node.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (packed, node), begin, size in _by_variant(batches):
-            pairs = list(_near(packed, node, begin, size, wide))
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            if len(both):
-                yield _batch(both[:, 0], both[:, 1])
-
-    return _dealt(_variants(prints)).mapInArrow(run, "a long, b long").distinct()
-
-
-def pairs_between(crowded: DataFrame, wide: int = WIDE) -> DataFrame:
-    """a < b: all pairs of nodes of different groups in variants of more than ``wide`` nodes, close by sketch and fingerprint.
-
-    crowded: node, group and the fingerprint's words of every node in such a variant.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (packed, node, group, *words), begin, size in _by_variant(batches):
-            for b, s in zip(begin[size > wide].tolist(), size[size > wide].tolist(), strict=True):
-                own = slice(b, b + s)
-                prints = np.stack([w[own].view(np.uint64) for w in words], axis=1)
-                for x, y in _between(int(packed[b] >> (SKETCH_BITS + 1 + SEGMENT_BITS)), node[own], group[own], prints):
-                    if len(x):
-                        yield _batch(x, y)
+        while len(columns[0]) and (chunk or columns[0][0] == columns[0][-1]):
+            n = int(np.searchsorted(columns[0], columns[0][0], "right"))
+            if n < len(columns[0]) and chunk:
+                yield chunk, [c[:n] for c in columns]
+                columns, chunk = [c[n:] for c in columns], 0
+            elif n > held:
+                yield chunk, [c[:held] for c in columns]
+                columns, chunk = [c[held:] for c in columns], chunk + 1
+            else:
+                break
+        whole = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) and not chunk else 0
+        if whole:
+            yield None, [c[:whole] for c in columns]
+        rest = [c[whole:] for c in columns]
+    if rest is not None and len(rest[0]):
+        yield chunk or None, rest
+
+
+def candidates(grouped: DataFrame, blocks: int, wide: int = WIDE, held: int = HELD) -> DataFrame:
+    """Rows of ``_Found``: all pairs of nodes of different groups that share a variant and are close by the last word."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found(blocks)
+        empty = pa.array([None], pa.list_(pa.int64()))
+        for chunk, (key, mark, node, group) in _by_variant(batches, held):
+            if chunk is None:
+                pairs = list(_pairs_of(key.astype(np.int64), mark.view(np.uint64), group, wide))
+                x, y = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+                for out in found.rows(node[x], node[y]):
+                    yield pa.RecordBatch.from_arrays([*out.columns, *[pa.nulls(out.num_rows, t) for t in (pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)]], names)
+            else:
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(c)) for c in (mark, node, group)]
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0]), empty, empty, pa.array([key[0]], pa.int32()), pa.array([chunk], pa.int32()), *lists], names)
+        for out in found.close():
+            yield pa.RecordBatch.from_arrays([*out.columns, *[pa.nulls(out.num_rows, t) for t in (pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3)]], names)
+
+    names = [*_Found.names, "key", "chunk", "mark", "node", "group"]
+    every = cut(_variants(grouped).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: given_back(chunks(b)), f"{_Found.schema}, {_CHUNK}"))
+    found = every.where("kind < 2").select(*_Found.names)
+    large = every.where("kind = 2").select("key", "chunk", "mark", "node", "group")
+    if large.isEmpty():
+        return found
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found(blocks)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, same, *lists = [c[i] for c in batch.columns]
+                mark, node, group, more_mark, more_node, more_group = (v.values.to_numpy() for v in lists)
+                n = len(mark)
+                mark, node, group = (np.concatenate(v) for v in ((mark, more_mark), (node, more_node), (group, more_group)))
+                one, two = np.argsort(group[:n], kind="stable"), n + np.argsort(group[n:], kind="stable")
+                for x, y in _square(key.as_py(), mark.view(np.uint64), group, one, one if same.as_py() else two):
+                    yield from found.rows(node[x], node[y])
+        yield from found.close()
 
-    return _dealt(_variants(crowded, "group", *_PRINTS)).mapInArrow(run, "a long, b long")
+    other = large.select("key", F.col("chunk").alias("other"), *[F.col(c).alias(f"more_{c}") for c in ("mark", "node", "group")])
+    both = large.join(other, "key").where("chunk <= other").select("key", (F.col("chunk") == F.col("other")).alias("same"), "mark", "node", "group", "more_mark", "more_node", "more_group")
+    return found.union(both.mapInArrow(lambda b: given_back(crossed(b)), _Found.schema))
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
@@ -231,53 +289,139 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))], ["node", "set"])
 
-    return rows.mapInArrow(run, "node long, set array<int>")
+    return rows.mapInArrow(lambda b: given_back(run(b)), "node long, set array<int>")
 
 
-def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs whose whole fingerprints are close."""
-    for side in ("a", "b"):
-        pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}{f}") for f in _PRINTS]), side)
-    gap = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in _PRINTS), F.lit(0))
-    return pairs.where(gap <= WHOLE_MOST).select("a", "b")
+def _sets_of(nodes: DataFrame, each: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and set of each of the nodes."""
+    wanted = cut(nodes.distinct().join(each.select("node", "key", "keep"), "node"))
+    texts = rows.join(small(wanted, FETCHED_ROWS), "key").where(rows["doc_id"].eqNullSafe(F.col("keep")))
+    return cut(_shingle_sets(texts.select("node", "text").dropDuplicates(["node"])))
 
 
 def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(wanted.join(each.select("node", "key", "keep"), "node"))
-    texts = rows.join(small(wanted, FETCHED_ROWS), "key").where(rows["doc_id"].eqNullSafe(F.col("keep")))
-    sets = cut(_shingle_sets(texts.select("node", "text").dropDuplicates(["node"])))
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), each, rows)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("two")), "b")
     shared = F.size(F.array_intersect("one", "two"))
     union = F.size("one") + F.size("two") - shared
     return cut(both.where((union == 0) | (shared >= F.lit(SIMILAR) * union)).select("a", "b"))
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
+class _Tile:
+    """The texts of one tile; takes pairs of them and gives those that join two groups."""
+
+    def __init__(self, node: np.ndarray, group: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]):
+        order = np.argsort(node)
+        self.node, self.prints, self.sets = node[order], prints[order], [sets[i] for i in order.tolist()]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.root = np.unique(group[order], return_inverse=True)[1].tolist()
+        self.parent = list(range(len(set(self.root))))
+
+    def _find(self, i: int) -> int:
+        g = self.root[i]
+        while self.parent[g] != g:
+            self.parent[g] = self.parent[self.parent[g]]
+            g = self.parent[g]
+        return g
+
+    def links(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        x, y = np.searchsorted(self.node, x), np.searchsorted(self.node, y)
+        both = np.unique(np.minimum(x, y) * len(self.node) + np.maximum(x, y))
+        x, y = both // len(self.node), both % len(self.node)
+        size_x, size_y = self.size[x], self.size[y]
+        may = np.minimum(size_x, size_y) >= SIMILAR * np.maximum(size_x, size_y)
+        x, y = x[may], y[may]
+        near = np.bitwise_count(self.prints[x] ^ self.prints[y]).sum(axis=1, dtype=np.int64) <= WHOLE_MOST
+        x, y = x[near], y[near]
+        out = []
+        for b, e in zip(*(lambda at: (at, [*at[1:], len(x)]))(np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []), strict=True):
+            i, others = int(x[b]), [j for j in y[b:e].tolist() if self._find(j) != self._find(int(x[b]))]
+            if not others:
+                continue
+            own, many = self.sets[i], self.size[others]
+            if len(own):
+                flat = np.concatenate([self.sets[j] for j in others])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                ends = np.cumsum(many)
+                upto = np.concatenate([[0], np.cumsum(hit)])
+                shared = upto[ends] - upto[ends - many]
+            else:
+                shared = np.zeros(len(others), np.int64)
+            union = len(own) + many - shared
+            for j in np.array(others)[(union == 0) | (shared >= SIMILAR * union)].tolist():
+                p, q = self._find(i), self._find(j)
+                if p != q:
+                    self.parent[p] = q
+                    out.append((int(self.node[i]), int(self.node[j])))
+        return out
+
+
+def _tile_links(rows: DataFrame) -> DataFrame:
+    """a and b from rows of tile, kind, node, group, prints, set (kind 0) and x, y (kind 1), sorted by tile and kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, tile, pairs, held = None, [], None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if pairs:
+                got = tile.links(*(np.concatenate(p) for p in zip(*pairs, strict=True)))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            tiles, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node, group, prints, sets, x, y = batch.columns[2:]
+            for i in range(batch.num_rows):
+                if tiles[i] != now:
+                    yield from out()
+                    now, texts, tile, pairs, held = tiles[i], [], None, [], 0
+                if kinds[i] == 0:
+                    texts.append((node[i].as_py(), group[i].as_py(), prints[i].values.to_numpy().view(np.uint64), sets[i].values.to_numpy().copy()))
+                    continue
+                if tile is None:
+                    nodes, groups, words, each = zip(*texts, strict=True)
+                    tile, texts = _Tile(np.array(nodes, np.int64), np.array(groups, np.int64), np.stack(words), list(each)), []
+                pairs.append((x[i].values.to_numpy().copy(), y[i].values.to_numpy().copy()))
+                held += len(pairs[-1][0])
+                if held >= PAIRS:
+                    yield from out()
+                    pairs, held = [], 0
+        yield from out()
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda b: given_back(run(b)), "a long, b long")
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, held: int = HELD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key (hash of the text), keep_id and keep_key (the doc_id that stays, and its text's hash) of every distinct text."""
     rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in _PRINTS])
+    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in ("n", *_PRINTS)])
     each = cut(each.withColumn("node", F.coalesce("keep", "key")))
     prints = each.select("node", *_PRINTS)
-    found = cut(candidates(prints, wide))
-    links = _verified(_close(found.where("a <> b"), prints), each, rows)
+    links = _verified(star_pairs(prints), each, rows)
     linked = components(links)
-    crowded = found.where("a = b").select(F.col("a").alias("node"))
-    if not crowded.isEmpty():
-        grouped = prints.join(crowded, "node").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-        links = links.union(_verified(pairs_between(grouped, wide), each, rows))
-        linked = components(links)
+    grouped = prints.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    grouped = cut(grouped)
+    shingles = each.agg(F.sum("n")).first()[0] or 0
+    found = cut(candidates(grouped, max(1, -(-4 * shingles // block_bytes)), wide, held))
+    tiles = found.where("kind = 1").groupBy("tile").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("nodes"))
+    tiles = cut(tiles.select("tile", F.explode("nodes").alias("node")))
+    sets = _sets_of(tiles.select("node"), each, rows)
+    texts = tiles.join(sets, "node").join(grouped.select("node", "group", F.array(*_PRINTS).alias("prints")), "node")
+    none = F.lit(None)
+    texts = texts.select("tile", F.lit(0).alias("kind"), "node", "group", "prints", "set", none.cast("array<long>").alias("x"), none.cast("array<long>").alias("y"))
+    pairs = found.where("kind = 0").select("tile", F.lit(1).alias("kind"), *[none.cast(t).alias(c) for c, t in (("node", "long"), ("group", "long"), ("prints", "array<long>"), ("set", "array<int>"))], "x", "y")
+    linked = components(links.union(cut(_tile_links(texts.union(pairs)))))
     first = F.struct(F.col("keep").isNull().alias("last"), F.col("keep").alias("keep_id"), F.col("key").alias("keep_key"))
     least = linked.join(each.select("node", "keep", "key"), "node").groupBy("component").agg(F.min(first).alias("first"))
     of_node = linked.join(least, "component").select("node", "first")
     return cut(each.join(of_node, "node", "left").withColumn("first", F.coalesce("first", first)).select("key", "first.keep_id", "first.keep_key"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, held: int = HELD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with one row of each group."""
-    groups = near_groups(docs, doc_id, text, wide).where("key = keep_key")
+    groups = near_groups(docs, doc_id, text, wide, held, block_bytes).where("key = keep_key")
     groups = groups.select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
     stays = docs.withColumn("_key", F.xxhash64(text_of(text))).join(groups, "_key").where(F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")))
     return stays.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
