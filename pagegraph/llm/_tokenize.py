@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pagegraph.llm._bytes import buffer_of, ragged, slices, xxh64
 
 #: Code points below it are sorted into kinds; they hold the Latin, Greek, Cyrillic and other alphabets, and punctuation.
 KNOWN = 0x2100
-#: Pieces kept; the store starts anew beyond it, so memory stays bounded.
-STORE = 1_500_000
+#: Bytes of pieces kept; the store starts anew beyond it, so memory stays bounded.
+STORE_BYTES = 24 << 20
 _BLANK, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -56,14 +57,10 @@ class FastEncoder:
                     self.kind[c] = kind
                     break
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has; null is empty."""
-        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row and end of each slice of about a megabyte, ids of its texts on end, and how many each has; null is empty."""
         for at, to in slices(texts):
-            one, n = self._slice(texts.slice(at, to - at))
-            ids.append(one)
-            counts.append(n)
-        return np.concatenate(ids), np.concatenate(counts)
+            yield at, to, *self._slice(texts.slice(at, to - at))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -149,7 +146,7 @@ class FastEncoder:
     def _lookup(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each piece in the store, which gets the new ones."""
         keys, which, back = np.unique(xxh64(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > STORE:
+        if 3 * self.keys.nbytes + self.ids.nbytes > STORE_BYTES:
             self._clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)

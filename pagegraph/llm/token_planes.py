@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.llm._files import opened, written
-from pagegraph.llm._shared import cut, shared_path
+from pagegraph.llm._shared import cut, given_back, shared_path
 from pagegraph.llm._tokenize import FastEncoder
 
 MAGIC = b"PGTOKEN1"
@@ -168,17 +168,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc_
             writer, encoder = PlaneWriter(out, mode, block), FastEncoder(tokenizer)
             batch = first
             while batch is not None:
-                ids, counts = encoder.encode(batch.column(1))
-                ends = np.cumsum(counts)
-                writer.add(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(0).is_null()), counts + 1, np.insert(ids, ends, np.uint32(end_id)))
-                n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(ids) + batch.num_rows
+                for a, b, ids, counts in encoder.encode(batch.column(1)):
+                    own = batch.column(0).slice(a, b - a)
+                    writer.add(own.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(own.is_null()), counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
+                    n_docs, n_ids = n_docs + b - a, n_ids + len(ids) + b - a
                 batch = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     dealt = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     dealt = dealt.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    return cut(dealt.mapInArrow(write, "part long, path string, n_docs long, n_ids long"))
+    return cut(dealt.mapInArrow(lambda b: given_back(write(b)), "part long, path string, n_docs long, n_ids long"))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     placed = files.select("path", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("start"))
     n = max(1, files.count())
-    return placed.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n).mapInArrow(lambda b: given_back(read(b)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
