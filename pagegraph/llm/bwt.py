@@ -61,9 +61,16 @@ class Shard:
     place: np.ndarray
 
 
-def named(hashes: np.ndarray) -> np.ndarray:
-    """Names of symbols: ranks of their hashes, from END + 1 on."""
-    return np.unique(hashes, return_inverse=True)[1].astype(np.int64) + END + 1
+def named(hashes: np.ndarray, data: np.ndarray | None = None, size: int = STEP) -> np.ndarray:
+    """Names of symbols: ranks of their hashes, from END + 1 on. With ``data``, the bytes of equal names are compared, and are the names if they differ."""
+    _, first, name = np.unique(hashes, return_index=True, return_inverse=True)
+    if data is not None and len(hashes):
+        windows = np.lib.stride_tricks.sliding_window_view(data, size)
+        for at in range(0, len(hashes), 1 << 16):
+            if (windows[at : min(at + (1 << 16), len(hashes))] != windows[first[name[at : at + (1 << 16)]]]).any():
+                name = np.unique(np.ascontiguousarray(windows[: len(hashes)]).view(f"V{size}").ravel(), return_inverse=True)[1]
+                break
+    return name.astype(np.int64) + END + 1
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:

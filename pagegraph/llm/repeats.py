@@ -12,9 +12,15 @@ of GRAM bytes (the first of equals), so equal strings have equal anchors at the
    The repeated intervals say which starts are repeated.
 4. The strings found are removed, document by document.
 
-A gram of more than ``CROWD`` contexts is not merged in one task: its contexts are dealt out by the bytes that
-CORE neighbouring starts share, then, of those that are shared, by the hash of each string; a start is repeated
-if its string comes twice. This is the exact way for very frequent passages.
+A gram of more than ``CROWD`` contexts is divided until each part fits a merge. The starts before an anchor are dealt
+into blocks of 256 neighbours, then 128, and so on; all strings of a block have some bytes around the anchor in
+common, more of them the smaller the block is, and contexts are in one part if these bytes are equal. In a part, what
+is equal as a whole is repeated as a whole and goes on as one, a context alone is dropped, up to CROWD contexts are
+merged, and the rest is divided again. A block of one start has the whole string in common, so it ends there. A
+context is at most two rows in each step, however many others share its gram.
+
+The bytes of a symbol are compared before two of them get one name; contexts and parts are told apart by 128 bits of
+hash. The lists of a document's contexts and spans are bounded by the document.
 
 Edge cases: a null text is empty; documents shorter than WIDTH stay whole; occurrences may overlap, and may be in
 the same document; equal documents of at least WIDTH bytes are removed whole, all of them; rows with the same
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._bytes import buffer_of, ragged, slices
-from pagegraph.llm._shared import cut, text_of
+from pagegraph.llm._shared import cut, given_back, text_of
 from pagegraph.llm.bwt import STEP, named, repeated, shard_of, window_hashes
 
 WIDTH = 400
 GRAM = 64
-#: Contexts of a gram that are merged in one task at most; and the starts that are dealt out together beyond it.
+#: Contexts of a gram, or of a part of one, that are merged in one task at most.
 CROWD = 1000
-CORE = 32
+#: Neighbouring starts of the largest block into which the strings of a crowded gram are dealt.
+LARGEST = 256
 #: Bytes of contexts that are merged at once, about, and of each shard of them.
 BATCH = 1 << 20
 SHARD = 1 << 18
@@ -105,7 +113,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 keys = batch.column(0).slice(a, b - a).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(_packed(place, near, far)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["key", "spot", "gram", "context"])
 
-    return docs.mapInArrow(run, "key long, spot long, gram long, context long")
+    return docs.mapInArrow(lambda b: given_back(run(b)), "key long, spot long, gram long, context long")
 
 
 def _fetched(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def _fetched(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), **{c: [r[c] for r in rows] for c in ("spot", "gram", "many", "crowded")}, "bytes": parts})
 
     joined = docs.join(lists, "key").select("key", "text", "list")
-    return joined.mapInArrow(run, "key long, spot long, gram long, many boolean, crowded boolean, bytes binary")
+    return joined.mapInArrow(lambda b: given_back(run(b)), "key long, spot long, gram long, many boolean, crowded boolean, bytes binary")
 
 
 def _starts_found(parts: list[bytes], near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +138,7 @@ def _starts_found(parts: list[bytes], near: np.ndarray, far: np.ndarray) -> tupl
     length = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
     start = np.cumsum(length) - length
-    names = named(window_hashes(data, STEP)[0])
+    names = named(window_hashes(data, STEP)[0], data)
     shards, at = [], 0
     while at < len(parts):
         to = max(at + 1, int(np.searchsorted(start, start[at] + SHARD)))
@@ -145,62 +153,67 @@ def _starts_found(parts: list[bytes], near: np.ndarray, far: np.ndarray) -> tupl
     return low, high
 
 
-def _merged(fetched: DataFrame) -> DataFrame:
-    """key, spot, low and high of each context of one place that has repeated strings."""
+def _merged(parts: DataFrame) -> DataFrame:
+    """key, spot, low and high of each context of one place that has repeated strings; parts: key, spot, part, many, near, far and bytes."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        spot = np.array([r[1] for r in rows], np.int64)
-        mask = (1 << _BITS) - 1
-        low, high = _starts_found([r[4] for r in rows], spot >> _BITS & mask, spot & mask)
+        low, high = _starts_found([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64))
         keep = np.flatnonzero((low <= high) & ~np.array([r[3] for r in rows], bool))
-        return pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in rows], np.int64)[keep]), pa.array(spot[keep]), pa.array(low[keep]), pa.array(high[keep])], ["key", "spot", "low", "high"])
+        key, spot = (np.array([r[k] for r in rows], np.int64)[keep] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(spot), pa.array(low[keep]), pa.array(high[keep])], ["key", "spot", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, gram = 0, None
+        size, part = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != gram and size > BATCH:
+                if row[2] != part and size > BATCH:
                     yield found(held)
                     held, size = [], 0
                 held.append(row)
-                size, gram = size + len(row[4]), row[2]
+                size, part = size + len(row[6]), row[2]
         if held:
             yield found(held)
 
-    rows = fetched.where(~F.col("crowded")).select("key", "spot", "gram", "many", "bytes")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, spot long, low long, high long")
+    rows = parts.select("key", "spot", "part", "many", "near", "far", "bytes")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: given_back(run(b)), "key long, spot long, low long, high long")
 
 
-def _crowded(fetched: DataFrame) -> DataFrame:
-    """The same for the contexts of crowded grams."""
+def _divided(rows: DataFrame, block: int) -> DataFrame:
+    """The contexts dealt into blocks of starts: the same columns, and part (the bytes in common) and extent (all bytes) as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << _BITS) - 1
         for batch in batches:
             out: list[tuple] = []
-            for key, spot, gram, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                near, far = spot >> _BITS & mask, spot & mask
-                inner = WIDTH - CORE + 1  # of each run of CORE distances, the bytes that all their strings have
-                whole, cores = window_hashes(np.frombuffer(data, np.uint8), WIDTH, inner)
-                for block in range(near // CORE, far // CORE + 1):
-                    at = far - block * CORE
-                    low, high = max(near, block * CORE), min(far, block * CORE + CORE - 1)
-                    if 0 <= at < len(cores):
-                        out.append((key, spot, gram, many, block, int(cores[at].view(np.int64)), low, whole[far - high : far - low + 1][::-1].view(np.int64).tolist()))
-            names = ["key", "spot", "gram", "many", "block", "core", "low", "hashes"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) or [[] for _ in names]
+            for key, spot, gram, many, near, far, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for first in range(near // block * block, far + 1, block):
+                    low, high = max(near, first), min(far, first + block - 1)
+                    own = data[far - high : far - low + WIDTH]
+                    core = own[high - first : high - first + WIDTH - block + 1]
+                    part = hashlib.blake2b(core + b"%d %d" % (gram, first), digest_size=16).digest()
+                    out.append((key, spot, gram, many, low, high, own, part, hashlib.blake2b(own + b"%d %d" % (low, high), digest_size=16).digest()))
+            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    rows = fetched.where("crowded").select("key", "spot", "gram", "many", "bytes")
-    rows = cut(rows.mapInArrow(run, "key long, spot long, gram long, many boolean, block long, core long, low long, hashes array<long>"))
-    shared = rows.groupBy("gram", "block", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    near = rows.join(shared, ["gram", "block", "core"], "left_semi")
-    each = cut(near.select("key", "spot", "gram", "many", "low", F.posexplode("hashes").alias("p", "hash")).select("key", "spot", "gram", "many", (F.col("low") + F.col("p")).alias("distance"), "hash"))
-    again = each.groupBy("gram", "distance", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found = each.where(~F.col("many")).join(again, ["gram", "distance", "hash"], "left_semi")
-    return found.groupBy("key", "spot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    names = ["key", "spot", "gram", "many", "near", "far", "bytes", "part", "extent"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return rows.select("key", "spot", "gram", "many", "near", "far", "bytes").mapInArrow(lambda b: given_back(run(b)), "key long, spot long, gram long, many boolean, near long, far long, bytes binary, part binary, extent binary")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """key, spot, low and high for the contexts of crowded grams; rows: key, spot, gram, many, near, far and bytes."""
+    found, block = [], LARGEST
+    while block and not rows.isEmpty():
+        rows = cut(_divided(rows, block))
+        extents = cut(rows.groupBy("part", "extent").agg((F.count("*") > 1).alias("again"), F.max("many").alias("seen"), F.min(F.struct("key", "spot")).alias("one")))
+        parts = cut(extents.groupBy("part").agg(F.count("*").alias("others"), F.count_if(~F.col("again") & ~F.col("seen")).alias("single")))
+        rows = cut(rows.join(extents, ["part", "extent"]).join(parts, "part"))
+        found.append(rows.where((F.col("again") | F.col("seen")) & ~F.col("many")).select("key", "spot", F.col("near").alias("low"), F.col("far").alias("high")))
+        open_ = (F.col("others") > 1) & (F.col("single") > 0) & (F.struct("key", "spot") == F.col("one"))
+        rows = rows.where(open_).select("key", "spot", "gram", (F.col("again") | F.col("seen")).alias("many"), "near", "far", "bytes", "part", "others")
+        found.append(_merged(rows.where(F.col("others") <= CROWD)))
+        rows, block = rows.where(F.col("others") > CROWD), block // 2
+    return reduce(DataFrame.union, found)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -215,10 +228,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_gram = contexts.groupBy("gram").agg(F.count("*").alias("others"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
     needed = contexts.join(by_gram, "gram").select("key", "spot", "gram", (F.col("n") > 1).alias("many"), (F.col("others") > CROWD).alias("crowded"))
     fetched = cut(_fetched(docs, needed))
-    parts = _merged(fetched)
-    if not fetched.where("crowded").isEmpty():
-        parts = parts.union(_crowded(fetched))
     place, near_by, far = F.shiftright("spot", 2 * _BITS), F.shiftright("spot", _BITS).bitwiseAND((1 << _BITS) - 1), F.col("spot").bitwiseAND((1 << _BITS) - 1)
+    ranged = fetched.withColumns({"near": near_by, "far": far})
+    parts = _merged(ranged.where(~F.col("crowded")).withColumn("part", F.unhex(F.hex("gram"))))
+    crowd = ranged.where("crowded")
+    if not crowd.isEmpty():
+        parts = parts.union(_crowded(crowd))
     whole = near.where("alike").select("key", "spot").union(near.where(~F.col("alike")).join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("key", "spot"))
     return whole.select("key", (place - far).alias("first"), (place - near_by + WIDTH).alias("last")).union(parts.select("key", (place - F.col("high")).alias("first"), (place - F.col("low") + WIDTH).alias("last")))
 
@@ -235,7 +250,7 @@ def _spans_of(rows: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def repeat_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_bytes: spans and the kept bytes too."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (whether any byte is removed) of every row; with_bytes: spans and the kept bytes too."""
     keyed = docs.select(_key(doc_id, text).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     # Rows with the same doc_id and text share a key, and so one of their anchors counts as often as there are rows.
     spans = repeated_spans(keyed.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -247,10 +262,10 @@ def repeat_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 data, found = (item.as_py() or "").encode(), _spans_of(rows.as_py())
                 edges = [0, *(x for span in found for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"first": a, "last": b} for a, b in found], kept)[: 7 if with_bytes else 5])
+                out.append((doc, len(data), len(data) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), bool(found), [{"first": a, "last": b} for a, b in found], kept)[: 8 if with_bytes else 6])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_bytes
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()] * with_bytes
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<first: long, last: long>>, kept binary" * with_bytes
-    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"] + ["spans", "kept"] * with_bytes
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()] * with_bytes
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + ", spans array<struct<first: long, last: long>>, kept binary" * with_bytes
+    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(lambda b: given_back(run(b)), schema)
