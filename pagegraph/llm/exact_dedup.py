@@ -1,14 +1,15 @@
-"""Exact dedup: sorted runs of digests, exchanged in binomial rounds and merged several at a time.
+"""Exact dedup: a tree-merge of sorted runs of digests, which partitions exchange in binomial rounds.
 
-Every partition turns its rows into a run: one entry for each digest, sorted by it, with the number of rows
-and the row that would stay. In a round, the runs of ``fan_in`` neighbours meet, and each of them keeps one
-range of the digests (recursive halving, ``fan_in`` at a time), so the runs shrink in number for each range
-while no task ever holds more than its range. A hot text is one entry of each run from the first level on,
-however many rows have it. An entry is merged only with entries of the same SHA-256, XXH64 and length of the
-normalised text: the digest is verified at every level.
+Every partition makes a run of its rows: one entry for each digest, with the number of rows and the row that would
+stay. In a round, ``fan_in`` neighbouring runs meet and divide the digests among themselves, so each of the new,
+longer runs lies in ``fan_in`` times as many ranges. Entries go to the task of their run and range, lie there in
+order of digest, and those of one digest, one from each run at most, become one. Rounds end when all runs have met.
+The number of tasks of a round is about that of the first runs, and a hot text is never more than ``fan_in`` entries
+in a task, however many rows have it.
 
-The plan is built from DataFrame functions alone. ``max`` over a struct cannot be kept in a hash map, so
-Spark merges by sorting: the runs are sorted runs.
+An entry is merged only with entries of the same SHA-256, XXH64 and length of the normalised text, at every level;
+that is what verified means here, texts are not compared. The plan is built from DataFrame functions alone: an
+exchange by run and range, a sort, and a sorted aggregate in each round.
 
 Edge cases: a null text is an empty one. Of equal texts the one with most code points stays, then the
 smallest doc_id, null last. Repeated rows with the same doc_id are one document: all of them are marked kept
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 from pagegraph.llm._shared import BLANKS, cut, text_of
 
-#: Runs that meet in one round, and how many runs there are at first.
+#: Runs that meet in one round.
 FAN_IN = 8
-RUNS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -42,17 +42,18 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 _KEY = ("sha", "check", "n_solid")
 
 
-def merged_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """One row for each key: n rows, and the largest of the structs in ``rank``."""
-    run = F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run")
-    level, width, left = rows.select(run, *_KEY, F.lit(1).cast("bigint").alias("n"), "rank"), 1, runs
+def merged_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """One row for each key: n rows, and the largest of the structs in ``rank``. ``rows`` has to be written out (see ``cut``), since its partitions are the runs."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = (rows.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0) + 1
+    entries = (F.sum("n").alias("n"), F.max("rank").alias("rank"))
+    level, ranges = rows.select(F.spark_partition_id().alias("run"), *_KEY, F.lit(1).cast("bigint").alias("n"), "rank").groupBy("run", *_KEY).agg(*entries), 1
+    place = F.conv(F.substring("sha", 1, 8), 16, 10).cast("bigint")
     while left > 1:
-        width, left = width * fan_in, -(-left // fan_in)
-        # Of each fan_in runs that meet, the digests fall into as many ranges as runs have met so far. The partial
-        # aggregate before the first exchange is each partition's own run.
-        target = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-        part = F.pmod("check", F.lit(width)).alias("part")
-        level = level.select(target, part, *_KEY, "n", "rank").groupBy("run", "part", *_KEY).agg(F.sum("n").alias("n"), F.max("rank").alias("rank"))
+        left, ranges = -(-left // fan_in), ranges * fan_in
+        met = level.select(F.floor(F.col("run") / fan_in).cast("int").alias("run"), F.shiftright(place * ranges, 32).cast("int").alias("range"), *_KEY, "n", "rank")
+        # Dealt by run and range, the entries of a digest are together, so the aggregate needs no exchange of its own.
+        level = met.repartition(tasks, "run", "range").sortWithinPartitions("run", "range", *_KEY).groupBy("run", "range", *_KEY).agg(*entries)
     return level.select(*_KEY, "n", "rank")
 
 
