@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._bytes import ragged, shingles_of, slices, words_of, xxh64
-from pagegraph.llm._shared import cut
+from pagegraph.llm._shared import cut, given_back
 from pagegraph.llm.components import components
 
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
                 parts.append(fingerprints_of(xxh64(words.data, start, end, SEED), count))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: given_back(run(b)), "doc_id long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -149,8 +149,10 @@ def near_links(fps: DataFrame, wide: int = WIDE) -> DataFrame:
             yield out(*groups.feed(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
         yield out(*groups.feed(np.zeros(0, np.int64), np.zeros(0, np.uint64), last=True))
 
+    # The fingerprints are few bytes, and 64 rows come from each: they are dealt out by number first.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     sorted_keys = _variants(fps).repartition("key").sortWithinPartitions("key")
-    found = cut(sorted_keys.mapInArrow(run, "a long, b long"))
+    found = cut(sorted_keys.mapInArrow(lambda b: given_back(run(b)), "a long, b long"))
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in (1 << k for k in range(64))])
     beside = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("beside"))
