@@ -1,19 +1,24 @@
-"""Benchmark decontamination: BM25 over the test items with block-max WAND, and overlap to verify.
+"""Benchmark decontamination: an inverted index of the test items, BM25 with block-max WAND, and overlap to verify.
 
-The items are the indexed side, and every passage of every training document is a query against them. Passages
-are windows of two strides, one stride apart, where a stride is as long as the longest item, so an item that a
-document holds lies whole in one of them. An item is retrieved if the passage's BM25 score for it reaches
-``SHARE`` of the item's score for itself; impacts are divided by that bound, so it is 1 for all items.
+The items are the indexed side, and every passage of every training document is a query against them. Items are
+indexed by length, a class for each power of two. Passages of a class are windows of two strides, one stride apart,
+where a stride is as long as the class's longest items may be, so an item that a document holds lies whole in one of
+them, and one very long item does not make all passages long. An item is retrieved if the passage's BM25 score for
+it reaches ``SHARE`` of the item's score for itself; impacts are divided by that bound, so it is 1 for all items.
 
-Block-max WAND prunes by upper bounds, for many passages at once: a passage whose terms' largest impacts add up
-to less than 1 can have no item; of the others, only those blocks of items are opened whose own largest impacts
-reach 1; the items of opened blocks are scored in full. No item above the bound is lost by it.
+A class has a posting list for each term, of items in ascending order with their impacts, cut into blocks of BLOCK
+items with the largest impact of each. Block-max WAND is run for many passages at once. The terms of a passage are
+taken in ascending order of their largest impact; where the sum first reaches 1 is the pivot, and an item with no
+term from the pivot on can't reach the bound. So only blocks in the lists of those terms are looked at; of these only
+the blocks in which the block maxima of all the passage's terms add up to 1 are opened, and only items of opened
+blocks are scored. No item at the bound is lost by it.
 
 Retrieved items are verified by word shingles: a share of ``OVERLAP`` of the item's shingles must be in the
 passage, and of those of its question and of its answer ``PART_OVERLAP`` each. Where items come as one text, the
 last third of the words counts as the answer. Words are lower-cased (A-Z) and parted by ASCII punctuation too.
 
-Items are broadcast, up to ``ITEM_BYTES`` of text at a time; more of them are taken in several passes.
+Items are broadcast, up to ``ITEM_BYTES`` of text at a time, whose index takes at most about 16 times as much (and TABLE
+numbers for each class); more of them are taken in several passes, each with the term statistics of its own items.
 
 Edge cases: null or blank texts and items match nothing; an item of fewer words than a shingle is one shingle;
 items with fewer than two shingles' words are question and answer in one; repeated rows each get their result;
@@ -31,16 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._bytes import Words, ragged, slices, words_of, xxh64
+from pagegraph.llm._shared import given_back
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
 SHARE = 0.6
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 BLOCK = 16
-#: Items of which the impacts are held as one matrix.
-CHUNK = 512
 LEAST_STRIDE = 32
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 4 << 20
+#: Pairs of a block and a term of its passage that are looked up at once.
+LOOKUPS = 1 << 21
+#: Places of a direct table, at most.
+TABLE = 1 << 20
 #: Slack of the upper bounds for rounding.
 SLACK = 1e-4
 
@@ -62,43 +70,81 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-class _Chunk:
-    """Impacts of up to CHUNK items: by item, the largest of each block, and the largest of all."""
-
-    def __init__(self, items: list[int], terms: np.ndarray, item: np.ndarray, impact: np.ndarray):
-        self.items = np.array(items)
-        self.terms, at = np.unique(terms, return_inverse=True)
-        blocks = -(-len(items) // BLOCK)
-        self.impact = np.zeros((len(self.terms), blocks * BLOCK), np.float32)
-        self.impact[at, item] = impact
-        self.impact = self.impact.reshape(len(self.terms), blocks, BLOCK)
-        self.block_most = self.impact.max(axis=2)
-        self.most = self.block_most.max(axis=1)
-
-    def retrieve(self, hashes: np.ndarray, passage: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """passage, item and score of all that reach 1; hashes and passage: words and where they are."""
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == hashes
-        passage, at = passage[hit], at[hit]
+class _Class:
+    """Posting lists of the items of one stride, cut into blocks."""
+
+    def __init__(self, stride: int, items: np.ndarray, n_terms: int, terms: np.ndarray, slot: np.ndarray, impact: np.ndarray):
+        """items: the indexes of the class's items; terms (numbers below n_terms), slot, impact: one entry for each posting."""
+        self.stride, self.items = stride, items
+        self.blocks = -(-len(items) // BLOCK)
+        known, term = np.unique(terms, return_inverse=True)
+        self.own = np.full(n_terms, -1, np.int32)
+        self.own[known] = np.arange(len(known))
+        order = np.lexsort((slot, term))
+        self.slot, self.impact = (slot[order] % BLOCK).astype(np.uint8), impact[order]
+        code = term[order] * self.blocks + slot[order] // BLOCK
+        self.begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        self.code = code[self.begin]  # term and block
+        # A direct table of the blocks' places, where it is small; it gives what a search gives.
+        self.table = None
+        if len(known) * self.blocks <= TABLE:
+            self.table = np.full(len(known) * self.blocks, -1, np.int32)
+            self.table[self.code] = np.arange(len(self.code))
+        self.block_most = np.maximum.reduceat(self.impact, self.begin)
+        self.begin = np.append(self.begin, len(code))
+        self.first = np.searchsorted(self.code, np.arange(len(known) + 1) * self.blocks)  # each term's first block
+        self.most = np.maximum.reduceat(self.block_most, self.first[:-1])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.own, self.slot, self.impact, self.begin, self.code, self.block_most, self.first, self.most, self.items, *([] if self.table is None else [self.table])))
+
+    def retrieve(self, at: np.ndarray, passage: np.ndarray, n: int) -> Iterator[tuple[int, int, float]]:
+        """passage, item and score of all that reach 1; at and passage: terms of the class, by number, and where they are."""
         # Repeated words only raise this sum, so it stays an upper bound.
-        bound = np.bincount(passage, self.most[at], n)
-        alive = bound[passage] >= 1 - SLACK
-        both = np.unique(passage[alive] * len(self.terms) + at[alive])
-        if not len(both):
-            return nothing
-        passage, at = both // len(self.terms), both % len(self.terms)
-        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        size = np.diff(np.append(first, len(passage)))
-        which, block = np.nonzero(np.add.reduceat(self.block_most[at], first, axis=0) >= 1 - SLACK)
-        if not len(which):
-            return nothing
-        rows = ragged(first[which], size[which])
-        each = self.impact[at[rows], np.repeat(block, size[which])].astype(np.float64)
-        score = np.add.reduceat(each, np.cumsum(size[which]) - size[which], axis=0)
-        pair, slot = np.nonzero(score >= 1)
-        return passage[first[which[pair]]], self.items[block[pair] * BLOCK + slot], score[pair, slot]
+        alive = np.bincount(passage, self.most[at], n)[passage] >= 1 - SLACK
+        both = np.unique(passage[alive] * len(self.most) + at[alive])
+        passage, at = both // len(self.most), both % len(self.most)
+        order = np.lexsort((self.most[at], passage))
+        passage, at = passage[order], at[order]
+        begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(at)))
+        upto = np.cumsum(self.most[at], dtype=np.float64)
+        before = np.repeat(upto[begin] - self.most[at][begin], size)
+        essential = np.flatnonzero(upto - before >= 1 - SLACK)
+        # The blocks of the terms from the pivot on.
+        which = np.repeat(np.arange(len(begin)), size)[essential]
+        count = self.first[at[essential] + 1] - self.first[at[essential]]
+        block = self.code[ragged(self.first[at[essential]], count)] % self.blocks
+        looked = np.unique(np.repeat(which, count) * self.blocks + block)
+        step = max(1, LOOKUPS // max(1, int(size.max(initial=1))))
+        for k in range(0, len(looked), step):
+            yield from self._scored(looked[k : k + step], passage, at, begin, size)
+
+    def _place(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Where a term's block stands in the lists, -1 if it has no posting there."""
+        code = term * self.blocks + block
+        if self.table is not None:
+            return self.table[code]
+        place = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[place] == code, place, -1)
+
+    def _scored(self, looked: np.ndarray, passage: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        which, block = looked // self.blocks, looked % self.blocks
+        rows = ragged(begin[which], size[which])
+        of = np.repeat(np.arange(len(looked)), size[which])
+        place = self._place(at[rows], block[of])
+        there = place >= 0
+        of, place = of[there], place[there]
+        opened = np.bincount(of, self.block_most[place], len(looked)) >= 1 - SLACK
+        of, place = of[opened[of]], place[opened[of]]
+        count = self.begin[place + 1] - self.begin[place]
+        posting = ragged(self.begin[place], count)
+        keys, back = np.unique(np.repeat(of, count) * BLOCK + self.slot[posting], return_inverse=True)
+        score = np.bincount(back, self.impact[posting].astype(np.float64), len(keys))
+        for j in np.flatnonzero(score >= 1).tolist():
+            k, slot = divmod(int(keys[j]), BLOCK)
+            yield int(passage[begin[which[k]]]), int(self.items[block[k] * BLOCK + slot]), float(score[j])
 
 
 class ItemIndex:
@@ -116,7 +162,6 @@ class ItemIndex:
             cut = int(ahead[i]) if answers[i] is not None else n - n // 3
             parts = (own, own[:cut], own[cut:]) if min(cut, n - cut) > 0 and n >= 2 * SHINGLE else (own, own, own)
             self.sets.append(tuple((min(SHINGLE, len(p)), shingle_set(p, min(SHINGLE, len(p)))) for p in parts))
-        self.stride = max([LEAST_STRIDE, *words.count.tolist()])
         item = np.repeat(np.arange(len(ids)), words.count)
         terms, term = np.unique(hashes, return_inverse=True)
         pairs, tf = np.unique(item * max(1, len(terms)) + term, return_counts=True)
@@ -128,11 +173,19 @@ class ItemIndex:
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item]))
         own = np.bincount(item, impact, len(ids))
         impact = impact / (share * own[item])
-        self.chunks = []
-        for at in range(0, len(ids), CHUNK):
-            here = (item >= at) & (item < at + CHUNK)
-            if here.any():
-                self.chunks.append(_Chunk(list(range(at, min(at + CHUNK, len(ids)))), terms[term[here]], item[here] - at, impact[here]))
+        stride = LEAST_STRIDE << np.maximum(0, np.ceil(np.log2(np.maximum(words.count, 1) / LEAST_STRIDE))).astype(np.int64)
+        self.terms, self.classes = terms, []
+        for length in np.unique(stride[words.count > 0]).tolist():
+            members = np.flatnonzero((stride == length) & (words.count > 0))
+            slot = np.full(len(ids), -1)
+            slot[members] = np.arange(len(members))
+            here = slot[item] >= 0
+            self.classes.append(_Class(length, members, len(terms), term[here], slot[item[here]], impact[here].astype(np.float32)))
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the posting lists and of the items' shingles."""
+        return self.terms.nbytes + sum(c.nbytes for c in self.classes) + sum(p[1].nbytes for s in self.sets for p in s)
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, float, float, float, float]]:
         """(row, item, first word of the passage, score, overlap, question's, answer's), the best passage of each row and item."""
@@ -146,24 +199,29 @@ class ItemIndex:
         return [(row, item, -word, score, *overlaps) for (row, item), (_, score, word, *overlaps) in sorted(found.items())]
 
     def _slice(self, words: Words, hashes: np.ndarray) -> Iterator[tuple]:
+        if not len(self.terms):
+            return
+        term = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[term] == hashes)
         row = np.repeat(np.arange(len(words.count)), words.count)
-        half = (np.arange(len(hashes)) - words.first[row]) // self.stride
-        halves = -(-words.count // self.stride)
-        before = np.cumsum(halves) - halves
-        place = before[row] + half
-        # A half belongs to the passage it begins, and to the one before it; a last half only to the latter, if there is one.
-        own = (half < halves[row] - 1) | (halves[row] == 1)
-        other = half > 0
-        passage = np.concatenate([place[own], place[other] - 1])
-        terms = np.concatenate([hashes[own], hashes[other]])
-        for chunk in self.chunks:
-            for p, item, score in zip(*chunk.retrieve(terms, passage, int(halves.sum())), strict=True):
+        for each in self.classes:
+            halves = -(-words.count // each.stride)
+            before = np.cumsum(halves) - halves
+            at = each.own[term[known]]
+            word, at = known[at >= 0], at[at >= 0].astype(np.int64)
+            doc = row[word]
+            half = (word - words.first[doc]) // each.stride
+            place = before[doc] + half
+            # A half belongs to the passage it begins, and to the one before it; a last half only to the latter, if there is one.
+            own = (half < halves[doc] - 1) | (halves[doc] == 1)
+            other = half > 0
+            for p, item, score in each.retrieve(np.concatenate([at[own], at[other]]), np.concatenate([place[own], place[other] - 1]), int(halves.sum())):
                 r = int(np.searchsorted(before, p, "right")) - 1
-                word = int(p - before[r]) * self.stride
-                mine = hashes[words.first[r] + word : words.first[r] + min(word + 2 * self.stride, words.count[r])]
+                word = int(p - before[r]) * each.stride
+                mine = hashes[words.first[r] + word : words.first[r] + min(word + 2 * each.stride, words.count[r])]
                 overlaps = [float(np.isin(shingles, shingle_set(mine, size), assume_unique=True).mean()) for size, shingles in self.sets[item]]
                 if overlaps[0] >= OVERLAP and min(overlaps) >= PART_OVERLAP:
-                    yield r, int(item), word, float(score), *overlaps
+                    yield r, item, word, score, *overlaps
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None) -> Iterator[ItemIndex]:
@@ -189,7 +247,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 ids = batch.column(0).take(pa.array([m[0] for m in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.ids[m[1]] for m in got], pa.int64()), pa.array([m[2] for m in got], pa.int64()), *[pa.array([m[k] for m in got], pa.float64()) for k in range(3, 7)]], ["doc_id", "item_id", "word", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, item_id long, word long, score double, overlap double, question_overlap double, answer_overlap double")
+        return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: given_back(run(b)), "doc_id long, item_id long, word long, score double, overlap double, question_overlap double, answer_overlap double")
 
     parts = [found_by(index) for index in indexes(items, text="text", answer=answer)]
     if not parts:
@@ -212,7 +270,7 @@ def flagged(docs: DataFrame, items: DataFrame, text: str = "text", answer: str |
                 ids = pa.array([sorted({x for x in one if x is not None}) + [None] * (None in one) for one in lists], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], [*kept, "item_ids"])
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lambda b, run=run: given_back(run(b)), out.schema)
     return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 
