@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagegraph.llm.decontaminate import flagged
 from pagegraph.llm.exact_dedup import exact_dedup
 from pagegraph.llm.language_id import language_id
-from pagegraph.llm.line_dedup import LINES, line_dedup
+from pagegraph.llm.line_dedup import LINES, LONG, line_dedup
 from pagegraph.llm.mixing import DRAWS, SEED, SPACE, STEP, mixing_plan
 from pagegraph.llm.repeats import repeat_dedup
 from pagegraph.llm.simhash import simhash_components
@@ -138,8 +138,10 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_po
 WITH docs AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT k, doc_id, l, p, l[p : p + {LINES - 1}] AS part FROM docs, unnest(range(1, len(l) - {LINES - 2})) u(p)),
 f AS (SELECT *, first_value(k || ':' || p) OVER (PARTITION BY part ORDER BY doc_id NULLS LAST, p) AS first FROM w),
-gone AS (SELECT DISTINCT k, unnest(range(p, p + {LINES})) AS i FROM f WHERE first <> k || ':' || p),
 parts AS (SELECT k, doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM docs),
+long AS (SELECT k, i, first_value(k || ':' || i) OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, i) AS first FROM parts WHERE length(x) >= {LONG}),
+gone AS (SELECT DISTINCT k, unnest(range(p, p + {LINES})) AS i FROM f WHERE first <> k || ':' || p
+         UNION SELECT k, i FROM long WHERE first <> k || ':' || i),
 kept AS (SELECT q.k, q.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(q.x, chr(10) ORDER BY q.i) FILTER (WHERE g.i IS NULL) AS text
          FROM parts q LEFT JOIN gone g ON q.k = g.k AND q.i = g.i GROUP BY q.k, q.doc_id)
 SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept""",
