@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._bytes import buffer_of, slices
-from pagegraph.llm._shared import small
+from pagegraph.llm._shared import given_back, small
 
 FOLDS = 5
 BUCKET_BITS = 13
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    found = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = chosen.mapInArrow(lambda b: given_back(count(b)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for one, part in found.groupby("lang"):
         counts[one] = np.zeros(BUCKETS)
@@ -190,7 +190,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], called, pa.array(score), pa.array(doubt)], [*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
 
     schema = type(docs.schema)([*kept]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: given_back(run(b)), schema)
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._files import opened, written
-from pagegraph.llm._shared import cut, shared_path, small, text_of
+from pagegraph.llm._shared import cut, given_back, shared_path, small, text_of
 
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame and of a frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -177,7 +177,7 @@ def write_warc(rows: DataFrame, folder: str) -> DataFrame:
         if files:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files], pa.int64())], ["path", "n_records"])
 
-    return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string, n_records long"))
+    return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(lambda b: given_back(write(b)), "path string, n_records long"))
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -201,7 +201,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = {"int64": "long", "string": "string", "binary": "binary"}
-    return files.select("path").repartition(max(1, files.count())).mapInArrow(read, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(lambda b: given_back(read(b)), ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
 
 
 def archive(pages: DataFrame, folder: str | None = None, with_payload: bool = False, **columns) -> DataFrame:

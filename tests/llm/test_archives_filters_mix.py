@@ -2,12 +2,16 @@
 
 import hashlib
 import io
+import math
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 import zstandard
 
+from pagegraph.llm import decontaminate as decon
 from pagegraph.llm import warc
 from pagegraph.llm.decontaminate import ItemIndex, contamination, decontaminated, flagged
 from pagegraph.llm.language_id import LanguageModel, accepted, codewords, language_id
@@ -160,21 +164,71 @@ def test_decontamination(spark):
     assert pairs == {(d, i) for d, v in got.items() for i in v}
 
 
-def test_pruning_loses_nothing():
+def plain_matches(texts, items):
+    """Row and item of each match, by scoring every passage against every item, and comparing runs of words as tuples."""
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    def runs(w, size):
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+    own = [words(x) for x in items]
+    n, mean = sum(bool(w) for w in own), sum(map(len, own)) / len(own)
+    df = Counter(t for w in own for t in set(w))
+
+    def score(present, k):
+        tf = Counter(own[k])
+        return sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (decon.K1 + 1) / (f + decon.K1 * (1 - decon.B + decon.B * len(own[k]) / mean)) for t, f in tf.items() if t in present)
+
+    parts = []
+    for w in own:
+        cut = len(w) - len(w) // 3
+        each = (w, w[:cut], w[cut:]) if len(w) >= 2 * decon.SHINGLE and 0 < cut < len(w) else (w, w, w)
+        parts.append([runs(p, min(decon.SHINGLE, len(p))) for p in each] if w else [])
+    for row, text in enumerate(texts):
+        whole = words(text)
+        for k, w in enumerate(own):
+            stride = decon.LEAST_STRIDE
+            while stride < len(w):
+                stride *= 2
+            for at in range(0, max(1, len(whole) - stride), stride) if w and whole else ():
+                passage = whole[at : at + 2 * stride]
+                if score(set(passage), k) >= decon.SHARE * score(set(w), k):
+                    shares = [len(p & runs(passage, len(next(iter(p))))) / len(p) for p in parts[k]]
+                    if shares[0] >= decon.OVERLAP and min(shares) >= decon.PART_OVERLAP:
+                        yield row, k
+
+
+@pytest.mark.parametrize("lookups", [1 << 21, 1])
+def test_decontamination_by_brute_force(spark, monkeypatch, lookups):
+    monkeypatch.setattr(decon, "LOOKUPS", lookups)
+    monkeypatch.setattr(decon, "TABLE", lookups - 1)
     r = random.Random(6)
-    vocabulary = [f"t{i}" for i in range(200)]
-    items = [" ".join(r.choice(vocabulary) for _ in range(20)) for _ in range(100)]
-    index = ItemIndex(list(range(100)), items)
-    chunk = index.chunks[0]
-    import numpy as np
-
-    from pagegraph.llm._bytes import words_of, xxh64
-
-    for _ in range(30):
-        text = " ".join(r.choice(vocabulary) for _ in range(20)) + " " + r.choice(items)
-        w = words_of(pa.array([text]), lower=True, plain=True)
-        h = xxh64(w.data, w.start, w.end)
-        got = set(chunk.retrieve(h, np.zeros(len(h), np.int64), 1)[1].tolist())
-        present = np.isin(chunk.terms, h)
-        full = chunk.impact.reshape(len(chunk.terms), -1)[present].astype(np.float64).sum(axis=0)
-        assert got == set(np.flatnonzero(full >= 1).tolist())
+    vocabulary = [f"t{i}" for i in range(150)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(r.choice([1, 4, 9, 20, 33, 64, 65, 200]))) for _ in range(80)] + [None, " ."]
+    texts = [None, "", "t1", *items[:8]]
+    for _ in range(150):
+        w = [r.choice(vocabulary) for _ in range(r.randrange(300))]
+        for _ in range(r.randrange(3)):
+            part = (r.choice(items) or "").split()
+            for _ in range(r.randrange(1 + len(part) // 8)):
+                part[r.randrange(len(part))] = "other"
+            at = r.randrange(len(w) + 1)
+            w[at:at] = part[: r.choice([len(part), len(part), 1 + len(part) // 2])]
+        texts.append(" ".join(w))
+    index = ItemIndex(list(range(len(items))), items)
+    got = {m[:2] for m in index.matches(pa.array(texts, pa.string()))}
+    want = set(plain_matches(texts, items))
+    assert got == want and len(want) > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, k) for x in flagged(docs, bench).collect() for k in x.item_ids} == want
+
+
+def test_index_size():
+    r = random.Random(7)
+    items = [" ".join(f"word{r.randrange(50_000)}" for _ in range(50)) for _ in range(3000)]
+    size = sum(map(len, items)) + 64 * len(items)
+    assert ItemIndex(list(range(3000)), items).nbytes <= 16 * size
+

@@ -55,6 +55,9 @@ def test_exact(spark, rows):
         keep = min(groups[bare])[2]
         want.append((d, keep, len(groups[bare]), d == keep, hashlib.sha256(bare.encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    clash = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, keep_id int, kept int, group_size int")
+    for n in (1, 30):  # one run, and as many as need two rounds
+        assert sorted(map(tuple, exact_dedup(clash.repartition(n)).collect()), key=str) == sorted(want, key=str)
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
@@ -138,7 +141,8 @@ def test_least_places():
 def test_lines(spark):
     r = random.Random(8)
     pool = [f"line {i}" for i in range(12)]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(12)))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n\n\n"), (53, "\n".join(pool)), (54, "\n".join(pool))]
+    long = [words(r, 80)[:n] for n in (199, 200, 300)]
+    rows = [(i, "\n".join(r.choice(pool + long) for _ in range(r.randrange(12)))) for i in range(40)] + [(44, long[1]), (45, f"{long[2]}\n"), (50, None), (51, ""), (52, "\n\n\n\n"), (53, "\n".join(pool)), (54, "\n".join(pool))]
     got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(frame(spark, rows)).collect()}
     first = {}
     for d, t in rows:
@@ -147,7 +151,11 @@ def test_lines(spark):
         for i in range(len(lines) - 2):
             if first.setdefault(tuple(lines[i : i + 3]), (d, i)) != (d, i):
                 gone |= {i, i + 1, i + 2}
+        gone |= {i for i, x in enumerate(lines) if len(x) >= 200 and first.setdefault(x, (d, i)) != (d, i)}
         assert got[d] == ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    clash = spark.createDataFrame([(None, "a\nb\nc", 5, 6, 7), (1, "a\nb\nc", 5, 6, 7), (1, "a\nb\nc", 5, 6, 7)], "doc_id long, text string, n_lines int, n_removed int, runs int")
+    assert sorted((x.doc_id or 0, x.n_lines, x.n_removed) for x in line_dedup(clash).collect()) == [(0, 3, 3), (1, 3, 0), (1, 3, 0)]
+    assert line_dedup(clash.where("doc_id > 5")).count() == 0
 
 
 def test_near(spark):
@@ -189,13 +197,13 @@ def similar_prints(texts):
         for k in range(g.PER_WORD):
             segment = (differ[:, : g.WORDS] >> np.uint64(k * g.SEGMENT_BITS)) & np.uint64((1 << g.SEGMENT_BITS) - 1)
             shares |= (np.bitwise_count(segment) <= 1).any(axis=1)
-        sketch = np.bitwise_count(differ[:, g.WORDS] & np.uint64((1 << g.SKETCH_BITS) - 1)) <= g.SKETCH_MOST
+        sketch = np.bitwise_count(differ[:, g.WORDS] & np.uint64((1 << 63) - 1)) <= g.SKETCH_MOST
         for j in np.flatnonzero(shares & sketch & (np.bitwise_count(differ).sum(axis=1) <= g.WHOLE_MOST)) + i + 1:
             if len(sets[i] & sets[j]) >= g.SIMILAR * len(sets[i] | sets[j]):
                 yield i, int(j)
 
 
-@pytest.mark.parametrize("more", [{}, {"wide": 3}])
+@pytest.mark.parametrize("more", [{}, {"wide": 3}, {"wide": 3, "held": 7, "block_bytes": 300_000}])
 def test_near_large_family(spark, more):
     # Texts that share most of their words but are not similar enough, each with a copy that is.
     r = random.Random(11)
@@ -219,6 +227,21 @@ def test_near_large_family(spark, more):
     assert sorted(x.doc_id for x in near_dedup(frame(spark, enumerate(texts)), **more).collect()) == want
 
 
+def test_near_recall():
+    # Of pairs whose similarity is just over the bound, all but a few in a hundred share a variant and pass the tests of the fingerprint.
+    r = np.random.default_rng(3)
+    shared = r.integers(0, 1 << 62, (2000, 400), np.int64).astype(np.uint64)
+    own = r.integers(0, 1 << 62, (2, 2000, 50), np.int64).astype(np.uint64)  # 400 of 500 shingles in common
+    prints = [np.stack([g.fingerprints_of(g._spread(np.concatenate([shared, o], axis=1).ravel(), k), np.full(2000, 450)) for k in range(g.WORDS + 1)], axis=1) for o in own]
+    differ = prints[0] ^ prints[1]
+    shares = np.zeros(2000, bool)
+    for k in range(g.PER_WORD):
+        segment = (differ[:, : g.WORDS] >> np.uint64(k * g.SEGMENT_BITS)) & np.uint64((1 << g.SEGMENT_BITS) - 1)
+        shares |= (np.bitwise_count(segment) <= 1).any(axis=1)
+    sketch = np.bitwise_count(differ[:, g.WORDS] & np.uint64((1 << 63) - 1)) <= g.SKETCH_MOST
+    assert (shares & sketch & (np.bitwise_count(differ).sum(axis=1) <= g.WHOLE_MOST)).mean() > 0.955
+
+
 def test_near_repeated_rows(spark):
     r = random.Random(12)
     one, two, three = (words(r, 200, 5000) for _ in range(3))
