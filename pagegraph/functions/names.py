@@ -104,3 +104,18 @@ def patient_key(name: Column, dob: Column) -> Column:
 def claimant_authored(author: Column, patient: Column) -> Column:
     """The author is the patient."""
     return (name_key(author) != "") & (name_key(author) == name_key(patient))
+
+
+def tokens_shared(a: Column, b: Column) -> Column:
+    """How many tokens two name keys have in common."""
+    return F.size(F.array_intersect(_key_tokens(a), _key_tokens(b)))
+
+
+def tokens_within(a: Column, b: Column) -> Column:
+    """One of two name keys has no token that the other lacks, and neither is blank."""
+    x, y = _key_tokens(a), _key_tokens(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+
+
+def _key_tokens(key: Column) -> Column:
+    return F.filter(F.split(F.coalesce(key, F.lit("")), r"\|"), lambda t: t != "")

@@ -46,3 +46,25 @@ def report(findings: DataFrame, checks: DataFrame) -> DataFrame:
     by_file = findings.groupBy("file_id").agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "error", "warning")])
     joined = checks.join(by_file, "file_id", "left").na.fill(0)
     return joined.withColumn("score", F.greatest(F.lit(0.0), (F.col("checks") - F.col("findings")) / F.col("checks")))
+
+
+def text_traps(entries: DataFrame, traps: DataFrame) -> DataFrame:
+    """file_id, trap_id and kind of the traps about words that entries have fallen into, and how many entries.
+
+    traps: kind (phrase_near_date, forbidden_author, phrase_on_page), date, forbidden (phrases or names) and pages. An
+    entry counts once, whichever of the phrases it says. Entries are matched with the traps of their file alone.
+    """
+    e, t = entries.withColumn("_said", normalised(F.col("text"))).alias("e"), traps.alias("t")
+    joined = e.join(t, "file_id")
+    on_page = F.exists("t.pages", lambda p: (p >= F.col("e.page_start")) & (p <= F.col("e.page_end")))
+    says = F.exists("t.forbidden", lambda w: F.contains(F.col("_said"), F.lower(w)))
+    credits = F.exists("t.forbidden", lambda w: F.contains(F.col("_said"), F.concat(F.lit("by "), F.lower(w))))
+    caught = F.when(F.col("t.kind") == "phrase_near_date", F.contains(F.col("_said"), F.lower("t.date")) & says).when(F.col("t.kind") == "forbidden_author", on_page & credits).when(F.col("t.kind") == "phrase_on_page", on_page & says)
+    return joined.where(caught).groupBy("file_id", "trap_id", "t.kind").agg(F.count("*").alias("n"))
+
+
+def visible_types(entries: DataFrame, key: DataFrame) -> DataFrame:
+    """The types, in lower case, of the entries whose pages meet those of each document of the key."""
+    e, k = entries.alias("e"), key.alias("k")
+    meet = (F.col("e.file_id") == F.col("k.file_id")) & (F.col("e.page_start") <= F.col("k.page_end")) & (F.col("e.page_end") >= F.col("k.page_start"))
+    return k.join(e, meet).groupBy("k.file_id", "k.key_id").agg(F.array_sort(F.collect_set(F.lower(F.coalesce("e.registered_type", F.lit(""))))).alias("types"))

@@ -1,4 +1,4 @@
-"""What stands at the head of a patient's summary."""
+"""What stands at the head of a patient's summary."""
 
 from __future__ import annotations
 
@@ -51,7 +51,3 @@ def capture_statement(pages: Column, first: Column, last: Column, patients: Colu
     head = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000), F.when(pages == 1, " page has").otherwise(" pages have"), F.lit(" been provided."))
     return F.when(patients > 1, F.concat(head, F.lit(" Pages "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" concern this patient."))).otherwise(head)
 
-
-def placeholder_text(first: Column, last: Column) -> Column:
-    """What is said of pages that nothing was made of."""
-    return F.when(first == last, F.concat(F.lit("Page "), first.cast("string"), F.lit(" was reviewed and contributed no reportable content."))).otherwise(F.concat(F.lit("Pages "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" were reviewed and contributed no reportable content.")))

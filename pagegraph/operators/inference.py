@@ -8,21 +8,24 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from pagegraph.functions.fuzzy import ratio
+from pagegraph.functions.fuzzy import sequence_ratio
+from pagegraph.functions.wording import scrub_opinion
 
 # Tries of a call, and the longest pause between them, in seconds.
 TRIES, LONGEST_PAUSE = 5, 60
 
 # Phrases of labels that route a document rather than describe it, and how alike a long word has to be.
 ROUTING = ("ordering", "deliver to", "delivered to", "family physician", "admitting", "consulting", "referred by", "referring", "provider", "copy to", "copies to", "cc", "attention", "attn", "addressed to", "requested by")
-SAME_WORD = 0.9
+SAME_WORD, SHORT_WORD = 0.9, 4
 
 
 class InferenceClient(Protocol):
@@ -44,14 +47,43 @@ def pause(attempt: int) -> int:
     return min(LONGEST_PAUSE, 2**attempt)
 
 
-def infer(rows: DataFrame, prompt: str, client: InferenceClient | None = None, tries: int = TRIES, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """rows with answer and error (F01-F05): a call that fails for good leaves null and says why, and the others go on."""
+#: What the four kinds of calls have to answer with (F09), as schemas of Spark; their fields are what an answer must have.
+ANSWERS = {
+    "pages": "pages array<struct<page_number:int,page_kind:string,document:struct<title:string,bucket:string,date:string,custom_type:string>,evidence:array<struct<kind:string,text:string,value:string,provenance:string>>>>",
+    "identities": "clusters array<struct<canonical:string,members:array<string>>>",
+    "summaries": "units array<struct<unit_id:string,text:string>>",
+    "opinion": "header map<string,string>, definition string, opinion string",
+}
+
+
+def required_fields(kind: str) -> tuple[str, ...]:
+    """The fields that an answer of this kind must have."""
+    return tuple(StructType.fromDDL(ANSWERS[kind]).fieldNames())
+
+
+def checked_answer(answer: str, required: Sequence[str]) -> str:
+    """The answer, if it is a JSON object with the required fields."""
+    value = json.loads(answer)
+    if not isinstance(value, dict):
+        raise ValueError("the answer is not a JSON object")
+    lost = [f for f in required if f not in value]
+    if lost:
+        raise ValueError(f"the answer lacks {', '.join(lost)}")
+    return answer
+
+
+def infer(rows: DataFrame, prompt: str, client: InferenceClient | None = None, tries: int = TRIES, wait: Callable[[float], None] = time.sleep, required: Sequence[str] = ()) -> DataFrame:
+    """rows with answer and error (F01-F05): a call that fails for good leaves null and says why, and the others go on.
+
+    An answer without the required fields is a failed try.
+    """
     model = client or StubClient()
+    needed = tuple(required)
 
     def ask(text: str | None) -> tuple[str | None, str | None]:
         for attempt in range(tries):
             try:
-                return (None, None) if text is None else (model.complete(text), None)
+                return (None, None) if text is None else (checked_answer(model.complete(text), needed), None)
             except Exception as e:  # noqa: BLE001  whatever a client raises is this row's error
                 failed = f"{type(e).__name__}: {e}"[:200]
                 if attempt < tries - 1:
@@ -84,15 +116,23 @@ def distinct_evidence(evidence: DataFrame, keys: list[str], order: str) -> DataF
     return evidence.groupBy(*keys, "kind", F.lower("text").alias("_k")).agg(F.min_by(F.struct(*[c for c in evidence.columns if c not in (*keys, "kind")]), order).alias("e")).select(*keys, "kind", "e.*")
 
 
-def is_routing_label(label: str | None) -> bool:
-    """The label has one of the routing phrases, give or take a slip in a long word."""
-    words = [w.strip(":.#").lower() for w in (label or "").split()]
-    for phrase in ROUTING:
-        asked = phrase.split()
-        for at in range(len(words) - len(asked) + 1):
-            if all(a == w or (min(len(a), len(w)) > 4 and ratio(a, w) >= SAME_WORD) for a, w in zip(asked, words[at:], strict=False)):
-                return True
-    return False
+def with_routing(fields: DataFrame, label: str = "label") -> DataFrame:
+    """fields with routing: whether the label has one of the routing phrases, give or take a slip in a long word.
+
+    Each different label is judged once. Its words are runs of letters; each different long word is compared with the
+    long words of the phrases once, and takes the place of the one that it is most like. A phrase is then found as text.
+    """
+    long = sorted({w for phrase in ROUTING for w in phrase.split() if len(w) > SHORT_WORD})
+    words = F.filter(F.split(F.lower(F.col("_label")), "[^a-z]+"), lambda w: w != "")
+    labels = fields.select(F.col(label).alias("_label")).where("_label is not null").distinct().select("_label", F.posexplode(words).alias("_at", "_word"))
+    asked = labels.select("_word").distinct().select("_word", F.explode(F.array(*[F.lit(w) for w in long])).alias("_mark"))
+    # Words whose lengths alone keep them apart are not compared.
+    fits = F.least(F.length("_word"), F.length("_mark")) >= SAME_WORD / 2 * (F.length("_word") + F.length("_mark"))
+    alike = asked.where((F.length("_word") > SHORT_WORD) & fits).withColumn("_ratio", sequence_ratio("_word", "_mark")).where(F.col("_ratio") >= SAME_WORD)
+    stands = alike.groupBy("_word").agg(F.max_by("_mark", "_ratio").alias("_mark"))
+    told = labels.join(stands, "_word", "left").groupBy("_label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_mark", "_word").alias("w")))), lambda x: x["w"]), " ").alias("_told"))
+    routing = told.select("_label", F.col("_told").rlike(f"(?:^| )(?:{'|'.join(ROUTING)})(?: |$)").alias("routing"))
+    return fields.join(routing, F.col(label) == F.col("_label"), "left").withColumn("routing", F.coalesce("routing", F.lit(False))).drop("_label")
 
 
 def loggable(value: object) -> object:
@@ -108,3 +148,41 @@ def usage(raw: Column) -> dict[str, Column]:
         return F.coalesce(*[F.get_json_object(raw, p).cast("bigint") for p in paths], F.lit(0).cast("bigint"))
 
     return {"input_tokens": first("$.usage.prompt_tokens", "$.usage.input_tokens"), "output_tokens": first("$.usage.completion_tokens", "$.usage.output_tokens"), "cached_tokens": first("$.usage.prompt_tokens_details.cached_tokens", "$.usage.input_tokens_details.cached_tokens")}
+
+
+@F.pandas_udf(StringType())
+def loggable_json(raw: pd.Series) -> pd.Series:
+    """JSON for the log, as ``loggable`` has it (X02); what is not JSON stays."""
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(loggable(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return text
+
+    return raw.map(one)
+
+
+def identity_prompts(names: DataFrame) -> DataFrame:
+    """One prompt for each file with two different names at least (F02); names: file_id, name, n."""
+    listed = F.array_sort(F.collect_list(F.struct("name", "n")))
+    files = names.groupBy("file_id").agg(listed.alias("names")).where(F.size("names") >= 2)
+    return files.select("file_id", F.to_json(F.struct("names")).alias("prompt"))
+
+
+def identity_clusters(answers: DataFrame) -> DataFrame:
+    """cluster, canonical and members of each answer (F02), for ``linkage.rename_map``; a file whose call failed has none."""
+    told = F.from_json("answer", ANSWERS["identities"])
+    return answers.where("answer is not null").select("file_id", F.posexplode(told["clusters"]).alias("cluster", "c")).select("file_id", "cluster", F.trim("c.canonical").alias("canonical"), F.transform("c.members", lambda m: F.trim(m)).alias("members"))
+
+
+def with_opinions(headers: DataFrame, answers: DataFrame, fields: Sequence[str], none: str = "No patient opinion generated.") -> DataFrame:
+    """headers with definition and opinion; a field that the answer's header fills replaces what was read.
+
+    Where the call failed, the header stays and the definition says so.
+    """
+    told = F.from_json("answer", ANSWERS["opinion"])
+    joined = headers.join(answers.select("bundle_id", told.alias("_t")), "bundle_id", "left")
+    corrected = {f: F.coalesce(F.nullif(F.trim(F.col("_t.header")[f]), F.lit("")), F.col(f)) for f in fields}
+    said = F.when(F.col("_t").isNull(), F.lit(none)).otherwise(scrub_opinion(F.coalesce("_t.definition", F.lit(""))))
+    opinion = scrub_opinion(F.coalesce("_t.opinion", F.lit("")))
+    return joined.withColumns({**corrected, "definition": said, "opinion": opinion}).drop("_t")

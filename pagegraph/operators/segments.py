@@ -16,6 +16,7 @@ from pagegraph.functions import fuzzy
 from pagegraph.functions.dates import first_of
 from pagegraph.functions.names import claimant_authored, name_key, patient_key
 from pagegraph.functions.text import normalize_key
+from pagegraph.operators._distinct import per_value
 from pagegraph.operators._fold import per_file
 from pagegraph.operators.entries import BARE_KINDS, by_file, carry_patient, repair_printed_runs
 
@@ -86,9 +87,10 @@ def _numbers(entries: list[dict]) -> list[int | None]:
 def segment_dated(entries: DataFrame) -> DataFrame:
     """entries, repaired and with patients carried forward, with segment, from 1 in each file, null for what is left out."""
     ready = carry_patient(repair_printed_runs(entries).drop("run_start"))
-    keys = {"_date": normalize_key(F.col("date")), "_title": normalize_key(F.col("title")), "_author": name_key(F.col("author")), "_patient": patient_key(F.col("patient_name"), F.col("patient_dob"))}
-    needed = ["page_number", "marker_index", "marker_total", "include", "kind", "starts_new", "bucket", *keys]
-    return per_file(ready.withColumns(keys), "entry_seq", needed, "segment", "integer", _numbers).drop(*keys)
+    keys = {"_date": normalize_key(F.col("date")), "_title": normalize_key(F.col("title")), "_author": name_key(F.col("author"))}
+    keyed = per_value(ready.withColumns(keys), ["patient_name", "patient_dob"], _patient=patient_key(F.col("patient_name"), F.col("patient_dob")))
+    needed = ["page_number", "marker_index", "marker_total", "include", "kind", "starts_new", "bucket", *keys, "_patient"]
+    return per_file(keyed, "entry_seq", needed, "segment", "integer", _numbers).drop(*keys, "_patient")
 
 
 def segment_islands(entries: DataFrame, *changes: Column) -> DataFrame:
@@ -122,7 +124,8 @@ def segment_documents(entries: DataFrame) -> DataFrame:
     )
     docs = docs.withColumns({"patient_name": F.col("_person.patient_name"), "patient_dob": F.col("_person.patient_dob")}).drop("_person")
     own = F.coalesce(claimant_authored(F.col("author"), F.col("patient_name")), F.lit(False))
-    docs = docs.withColumns({"claimant_authored": own, "author": F.when(~own, F.col("author")), "patient_key": patient_key(F.col("patient_name"), F.col("patient_dob"))})
+    docs = docs.withColumns({"claimant_authored": own, "author": F.when(~own, F.col("author"))})
+    docs = per_value(docs, ["patient_name", "patient_dob"], patient_key=patient_key(F.col("patient_name"), F.col("patient_dob")))
     return docs.withColumn("doc_id", F.format_string("doc-%d-%d", "segment", "page_start"))
 
 
@@ -166,3 +169,75 @@ def evidence_signature(texts: Column) -> Column:
 def first_label(*values: Column) -> Column:
     """The first that says anything."""
     return first_of(*values)
+
+
+def refreshed_documents(documents: DataFrame, entries: DataFrame) -> DataFrame:
+    """documents with first title, date, type, bucket, author and recipient taken anew from the entries they have now.
+
+    Where the entries have none, what the document had stays. Both have file_id and document, its number.
+    """
+    names = ("title", "date", "custom_type", "author", "recipient")
+    found = {c: _earliest(F.when(F.col(c) != "", F.col(c))) for c in names}
+    found["bucket"] = _earliest(F.when(F.col("bucket") != UNKNOWN, F.col("bucket")))
+    new = entries.where("document is not null").groupBy("file_id", "document").agg(*[v.alias(f"_{c}") for c, v in found.items()])
+    joined = documents.join(new, ["file_id", "document"], "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in found}).drop(*[f"_{c}" for c in found])
+
+
+def subsection_rows(entries: DataFrame) -> DataFrame:
+    """One row for each sub-section (file_id, segment, sub): its identifier, span, first date and author, first known bucket."""
+    named = {c: _earliest(F.when(F.col(c) != "", F.col(c))).alias(c) for c in ("date", "author")}
+    rows = entries.groupBy("file_id", "segment", "sub").agg(*named.values(), F.coalesce(_earliest(F.when(F.col("bucket") != UNKNOWN, F.col("bucket"))), F.lit(UNKNOWN)).alias("bucket"), F.min_by("page_number", "entry_seq").alias("page_start"), F.max_by("page_number", "entry_seq").alias("page_end"), F.count("*").alias("n_entries"))
+    return rows.withColumn("sub_id", F.format_string("doc-%d::%d", "segment", "sub"))
+
+
+def _sub_numbers(rows: list[dict]) -> list[int]:
+    """The sub-section of each entry of a file; entries come document by document."""
+    out, n, document, date, author = [], 0, None, None, None
+    for row in rows:
+        if row["segment"] != document:
+            document, n, date, author = row["segment"], 0, None, None
+        if row["kind"] not in ("empty", "signature_only"):
+            parted = bool(row["_date"] and date and row["_date"] != date) or bool(row["_author"] and author and not fuzzy.keys_equivalent(row["_author"], author))
+            if parted:
+                n, date, author = n + 1, None, None
+            date, author = row["_date"] or date, row["_author"] or author
+        out.append(n)
+    return out
+
+
+def subsections_by_likeness(entries: DataFrame) -> DataFrame:
+    """sub, from 0 within a document, as ``subsections`` has it, but authors part only where their names are not alike."""
+    keys = {"_date": F.nullif(normalize_key(F.col("date")), F.lit("")), "_author": F.nullif(name_key(F.col("author")), F.lit("")), "_at": F.struct("segment", "entry_seq")}
+    own = entries.where("segment is not null").withColumns(keys)
+    return per_file(own, "_at", ["segment", "kind", "_date", "_author"], "sub", "integer", _sub_numbers).drop(*keys)
+
+
+def page_markdown(entries: DataFrame, keys: list[str], order: str = "page_number") -> DataFrame:
+    """The markdown of each document's pages, in order, without blank ones."""
+    tidy = F.nullif(F.trim(F.coalesce("markdown", F.lit(""))), F.lit(""))
+    parts = F.array_sort(F.collect_list(F.when(tidy.isNotNull(), F.struct(F.col(order).alias("at"), tidy.alias("m")))))
+    return entries.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["m"]), "\n\n").alias("markdown"))
+
+
+def all_evidence(entries: DataFrame, keys: list[str], order: str = "page_number") -> DataFrame:
+    """The evidence of each document, page by page."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce("evidence", F.array().cast(entries.schema["evidence"].dataType)).alias("e"))))
+    return entries.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["e"])).alias("evidence"))
+
+
+def flattened_entries(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs of older results with each of several nested entries as one of its own, numbered anew.
+
+    paragraphs: patient, para_pos, text, page_start, page_end, document_id, document_type, document_number, is_placeholder,
+    subs (text, page_start, page_end). A patient without a paragraph of several entries stays as it is.
+    """
+    nested = F.max(F.size("subs") > 1).over(Window.partitionBy("patient"))
+    marked = paragraphs.withColumns({"_nested": nested, "_many": F.size("subs") > 1})
+    own = F.array(F.struct("text", "page_start", "page_end"))
+    rows = marked.select("patient", "para_pos", "document_id", "document_type", "document_number", "is_placeholder", "_nested", "_many", F.posexplode(F.when(F.col("_nested") & F.col("_many"), F.col("subs")).otherwise(own)).alias("sub_pos", "s"))
+    counts = F.when(F.col("_many"), 1).otherwise((~F.coalesce("is_placeholder", F.lit(False)) & (F.coalesce("document_number", F.lit(0)) != 0)).cast("int"))
+    order = Window.partitionBy("patient").orderBy("para_pos", "sub_pos")
+    running = F.sum(counts).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = F.when(F.col("_nested") & (counts == 1), running).otherwise(F.col("document_number"))
+    return rows.select("patient", "para_pos", "sub_pos", "document_id", "document_type", "s.text", "s.page_start", "s.page_end", number.cast("int").alias("document_number"), (F.coalesce("is_placeholder", F.lit(False)) & ~(F.col("_nested") & F.col("_many"))).alias("is_placeholder"))

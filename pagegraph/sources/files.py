@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagegraph.functions.text import first_image_caption, json_lenient
+
 # Domains of decoded fields, and what an unknown one becomes; limits of rendered tables.
 PAGE_KINDS = ("clinical", "imaging", "pathology", "functional", "admin", "signature_only", "empty")
 BUCKETS = ("clinical", "imaging", "pathology", "functional", "administrative", "unknown")
 PROVENANCES = ("primary", "referenced", "recited", "administrative")
 TABLE_ROWS, CELL_CHARS, FIELD_COUNT = 25, 120, 40
 STAGES = ("parse", "summarize")
+EVIDENCE_KINDS = ("diagnosis", "symptom", "finding", "measurement", "medication", "history", "exam", "impression", "imaging_finding", "imaging_impression", "recommendation", "restriction", "limitation", "return_to_work", "hospitalization", "onset", "mechanism", "investigation", "score", "checklist")
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,11 +36,54 @@ def write_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("job_id", "stage").json(path)
 
 
+#: What an answer about a page looks like.
+PAGE = "page_kind string, include_in_output boolean, starts_new_document boolean, page_marker struct<index:int,total:int>, document struct<title:string,bucket:string,date:string,custom_type:string>, author struct<name:string,credentials:string,is_doctor:boolean>, evidence array<struct<kind:string,text:string,value:string,provenance:string>>, raw_text_excerpt string, markdown string"
+
+
+def _one_of(value: Column, known: tuple[str, ...], other: str) -> Column:
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(*known), low).otherwise(other)
+
+
+def _said(value: Column) -> Column:
+    """Single blanks, null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
+
+
 def decode_page(raw: Column) -> dict[str, Column]:
-    """kind, bucket and include of a decoded page, with values out of their domain replaced."""
-    kind = F.when(raw["kind"].isin(*PAGE_KINDS), raw["kind"]).otherwise("clinical")
-    bucket = F.when(raw["bucket"].isin(*BUCKETS), raw["bucket"]).otherwise("unknown")
-    return {"kind": kind, "bucket": bucket, "include": F.coalesce(raw["include"], ~kind.isin("admin", "empty"))}
+    """The fields of a page's answer (see PAGE), with values out of their domain replaced and evidence that says nothing left out.
+
+    A page without evidence that has an image in its markdown is an image if it was called empty or signed only; an
+    image without evidence gets one item, its caption, else its excerpt.
+    """
+    kind = _one_of(raw["page_kind"], PAGE_KINDS, "clinical")
+    items = F.coalesce(raw["evidence"], F.array().cast("array<struct<kind:string,text:string,value:string,provenance:string>>"))
+    tidy = F.transform(items, lambda e: F.struct(F.lower(F.trim(e["kind"])).alias("kind"), _said(e["text"]).alias("text"), _said(e["value"]).alias("value"), _one_of(e["provenance"], PROVENANCES, "primary").alias("provenance")))
+    kept = F.filter(tidy, lambda e: e["kind"].isin(*EVIDENCE_KINDS) & e["text"].isNotNull())
+    markdown = F.trim(F.coalesce(raw["markdown"], F.lit("")))
+    rescued = (F.size(kept) == 0) & markdown.contains("![") & kind.isin("empty", "signature_only")
+    shown = F.when(rescued, "imaging").otherwise(kind)
+    caption = F.coalesce(F.nullif(first_image_caption(markdown), F.lit("")), _said(raw["raw_text_excerpt"]), F.lit("Medical image on page; no report text captured."))
+    alone = F.array(F.struct(F.lit("imaging_finding").alias("kind"), caption.alias("text"), F.lit(None).cast("string").alias("value"), F.lit("primary").alias("provenance")))
+    return {
+        "kind": shown, "bucket": _one_of(raw["document"]["bucket"], BUCKETS, "unknown"), "include": rescued | F.coalesce(raw["include_in_output"], ~shown.isin("admin", "empty")),
+        "starts_new": F.coalesce(raw["starts_new_document"], F.lit(False)), "marker_index": F.coalesce(raw["page_marker"]["index"], F.lit(0)), "marker_total": F.coalesce(raw["page_marker"]["total"], F.lit(0)),
+        "title": _said(raw["document"]["title"]), "date": _said(raw["document"]["date"]), "custom_type": _said(raw["document"]["custom_type"]), "author": _said(raw["author"]["name"]),
+        "evidence": F.when((shown == "imaging") & (F.size(kept) == 0), alone).otherwise(kept), "raw_text_excerpt": F.coalesce(_said(raw["raw_text_excerpt"]), F.lit("")), "markdown": markdown,
+    }
+
+
+def decoded_pages(answers: DataFrame) -> DataFrame:
+    """page rows (file_id, page_number and the fields of ``decode_page``) from answers (file_id, page_number, answer), and parse_error.
+
+    An answer that is no JSON is an empty page that is left out, with the reason in its excerpt.
+    """
+    told = answers.withColumn("_t", json_lenient(F.coalesce("answer", F.lit("")), PAGE))
+    bad = F.col("_t").isNull()
+    fields = decode_page(F.col("_t"))
+    empty = {"kind": F.lit("empty"), "include": F.lit(False), "raw_text_excerpt": F.lit("[parse-error]"), "bucket": F.lit("unknown"), "starts_new": F.lit(False), "markdown": F.lit("")}
+    out = {c: F.when(bad, empty[c]).otherwise(v) if c in empty else F.when(~bad, v) for c, v in fields.items()}
+    return told.select("file_id", "page_number", *[v.alias(c) for c, v in out.items()], bad.alias("parse_error"))
 
 
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +139,8 @@ def table_lines(rows: Column) -> Column:
     def cell(x: Column) -> Column:
         return F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(CELL_CHARS))
 
-    shown = F.transform(F.slice(rows, 1, TABLE_ROWS), lambda r: F.array_join(F.transform(r, cell), " | "))
+    said = F.filter(F.slice(rows, 1, TABLE_ROWS), lambda r: F.exists(r, lambda x: F.trim(x) != ""))  # blank rows are not shown
+    shown = F.transform(said, lambda r: F.array_join(F.transform(r, cell), " | "))
     more = F.size(rows) - TABLE_ROWS
     return F.when(more > 0, F.concat(shown, F.array(F.format_string("… %d further row(s) not shown", more)))).otherwise(shown)
 
