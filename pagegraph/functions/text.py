@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagegraph.functions._let import let
+
 # What counts as personal data, deleted in this order.
 PERSONAL = (
     r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b",
@@ -19,6 +21,8 @@ PERSONAL = (
     r"(?i)\b\d{1,5}\s+[\w.\s-]+(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Drive|Dr\.|Lane|Ln\.|Court|Ct\.|Crescent|Cres\.|Place|Pl\.)\b",
     r"(?i)\b(?:OHIP|Health\s*Card|MRN|HCN|SIN|Tel(?:ephone)?|Phone|Fax|Email|E-mail|Address)\s*[:#]?\s*[^\s,]+",
 )
+#: What an address ends with; a text without it has no address, which spares it the search from every number on.
+_STREET = r"(?i)(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Drive|Dr\.|Lane|Ln\.|Court|Ct\.|Crescent|Cres\.|Place|Pl\.)\b"
 #: Telephone numbers that the list above lets pass: with a country code or area code in brackets.
 PERSONAL_STRICT = (r"(?:\+\d{1,3}\s?)?\(\d{3}\)\s?\d{3}[-.\s]\d{4}\b", *PERSONAL)
 
@@ -47,9 +51,19 @@ def _each(text: Column, patterns: Sequence[str], by: str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, by), patterns, text)
 
 
+def _without_personal(text: Column, patterns: Sequence[str]) -> Column:
+    """The same with nothing in their place; the pattern of addresses is tried only where one can end."""
+    for p in patterns:
+        if "Street" in p:
+            text = let(text, lambda t, p=p: F.when(t.rlike(_STREET), F.regexp_replace(t, p, "")).otherwise(t))
+        else:
+            text = F.regexp_replace(text, p, "")
+    return text
+
+
 def pii_scrub(text: Column, patterns: Sequence[str] = PERSONAL) -> Column:
     """Without personal data; runs of blanks become one, and edges lose separators."""
-    tidy = F.regexp_replace(_each(text, patterns, ""), r"\s{2,}", " ")
+    tidy = F.regexp_replace(_without_personal(text, patterns), r"\s{2,}", " ")
     return F.call_function("btrim", tidy, F.lit(" ,;:|"))
 
 
@@ -109,8 +123,8 @@ def first_image_caption(markdown: Column) -> Column:
 
 
 def json_lenient(content: Column, schema: str) -> Column:
-    """A JSON object from an answer that may wrap it in a code fence or in prose."""
-    tries = [content, F.regexp_extract(content, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(content, r"(?s)(\{.*\})", 1)]
+    """JSON of this schema from an answer that may wrap it in a code fence or in prose: an object, else an array."""
+    tries = [content, F.regexp_extract(content, r"(?is)```(?:json)?\s*(.*?)\s*```", 1), F.regexp_extract(content, r"(?s)(\{.*\})", 1), F.regexp_extract(content, r"(?s)(\[.*\])", 1)]
     ok = [F.when((t != "") & F.try_parse_json(F.when(t != "", t)).isNotNull(), t) for t in tries]
     return F.from_json(F.coalesce(*ok), schema)
 

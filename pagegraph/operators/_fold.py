@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 _KINDS = {"integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -27,17 +28,25 @@ def per_file(rows: DataFrame, order: str, needed: list[str], name: str, kind: st
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, _KINDS[kind])], [*batch.schema.names, name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if held is not None and held.num_rows:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            ids = batch.column("file_id").to_pylist()
-            cut = next((k for k in range(len(ids) - 1, 0, -1) if ids[k - 1] != ids[-1]), 0)
-            if cut:
-                yield finished(batch.slice(0, cut))
-            held = batch.slice(cut)
-        if held is not None and held.num_rows:
-            yield finished(held)
+            if not batch.num_rows:
+                continue
+            ids = batch.column("file_id")
+            last = ids[batch.num_rows - 1]
+            same = pc.equal(ids, last) if last.is_valid else pc.is_null(ids)
+            cut = batch.num_rows - pc.sum(same).as_py()  # rows are sorted by file, so the last file's are at the end
+            if cut or (held and held[-1].column("file_id")[0] != last):
+                yield from whole([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        yield from whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is made of these rows, which are joined once."""
+        for batch in pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []:
+            if batch.num_rows:
+                yield finished(batch)
 
     schema = type(rows.schema)([*rows.schema.fields]).add(name, kind)
     return rows.repartition("file_id").sortWithinPartitions("file_id", order).mapInArrow(run, schema)

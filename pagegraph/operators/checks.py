@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions.dates import canonical_date, is_ambiguous, leading_date, votes_day_first, votes_month_first
+from pagegraph.operators._distinct import per_value
 
 # Wording that finds nothing, wording that finds something, negated findings, and regions of the body.
 NEGATIVE = r"(?i)\b(?:normal|unremarkable|no acute (?:abnormality|finding|process)|within normal limits|negative study)\b"
@@ -40,10 +41,12 @@ def asserts_negative(text: Column) -> Column:
 def contradictions(paragraphs: DataFrame) -> DataFrame:
     """Pairs of imaging paragraphs with one date and a region in common, of which one finds nothing and one something.
 
-    The join is on file, date and region, so only paragraphs that can contradict meet.
+    The patterns are evaluated once for each paragraph, before it becomes a row for each region. The join is on file,
+    date and region, so only paragraphs that can contradict meet.
     """
-    told = paragraphs.select("file_id", "para_pos", leading_date(F.col("text")).alias("iso"), F.explode(regions(F.col("text"))).alias("region"), asserts_negative(F.col("text")).alias("nothing"), asserts_positive(F.col("text")).alias("something")).where("iso is not null and (nothing or something)")
-    nothing = told.where("nothing").select("file_id", "iso", "region", F.col("para_pos").alias("a"))
+    told = paragraphs.select("file_id", "para_pos", leading_date(F.col("text")).alias("iso"), regions(F.col("text")).alias("regions"), F.col("text").rlike(NEGATIVE).alias("denies"), asserts_positive(F.col("text")).alias("something"))
+    told = told.where("iso is not null and (denies or something)").select("file_id", "para_pos", "iso", "denies", "something", F.explode("regions").alias("region"))
+    nothing = told.where("denies and not something").select("file_id", "iso", "region", F.col("para_pos").alias("a"))
     something = told.where("something").select("file_id", "iso", "region", F.col("para_pos").alias("b"))
     return nothing.join(something, ["file_id", "iso", "region"]).select("file_id", "iso", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).distinct()
 
@@ -113,10 +116,11 @@ def quality(documents: DataFrame) -> DataFrame:
     def blank(c: str) -> Column:
         return F.coalesce(F.trim(c), F.lit("")) == ""
 
-    iso = canonical_date(F.col("date"))
+    documents = per_value(documents, ["date"], _iso=canonical_date(F.col("date")), _open=is_ambiguous(F.col("date")))
+    iso = F.col("_iso")
     gaps = {
         "missing_date": iso.isNull(),
-        "ambiguous_date": iso.isNotNull() & is_ambiguous(F.col("date")) & ~F.col("convention_resolved"),
+        "ambiguous_date": iso.isNotNull() & F.col("_open") & ~F.col("convention_resolved"),
         "missing_author": blank("author") & ~F.coalesce("claimant_authored", F.lit(False)),
         "no_evidence": F.col("n_evidence") == 0,
         "thin_evidence": (F.col("n_evidence") > 0) & (F.col("n_evidence") < F.col("n_pages")),
@@ -127,7 +131,7 @@ def quality(documents: DataFrame) -> DataFrame:
     lost = reduce(lambda a, b: a + b, [F.when(test, int(round(PENALTIES[name] * 100))).otherwise(0) for name, test in gaps.items()])
     score = F.greatest(F.lit(0), 100 - lost) / 100
     reasons = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in gaps.items()]), lambda r: r.isNotNull())
-    return documents.withColumns({"score": score, "reasons": reasons, "needs_review": score < REVIEW_BELOW})
+    return documents.withColumns({"score": score, "reasons": reasons, "needs_review": score < REVIEW_BELOW}).drop("_iso", "_open")
 
 
 def broken_pagination(entries: DataFrame) -> DataFrame:

@@ -63,17 +63,16 @@ def printed_runs(entries: DataFrame) -> DataFrame:
 def repair_printed_runs(entries: DataFrame) -> DataFrame:
     """Within a printed run: included if any entry is, content kind for bare ones, the first title, one beginning."""
     runs = printed_runs(entries)
-    run = Window.partitionBy("file_id", "run_start")
-    inside = F.col("run_start").isNotNull()
-    any_in = F.max("include").over(run)
-    content = F.min_by(F.when(~F.col("kind").isin(*BARE_KINDS), F.col("kind")), F.when(~F.col("kind").isin(*BARE_KINDS), F.col("entry_seq"))).over(run)
     named = F.trim(F.coalesce("title", F.lit(""))) != ""
-    title = F.min_by(F.when(named, F.col("title")), F.when(named, F.col("entry_seq"))).over(run)
-    fixed = runs.select(
+    told = ~F.col("kind").isin(*BARE_KINDS)
+    # One aggregate for each run; it is dealt by file, as the runs are, and so is the join.
+    found = runs.where("run_start is not null").groupBy("file_id", "run_start").agg(F.max("include").alias("_any"), F.min_by(F.when(told, F.col("kind")), F.when(told, F.col("entry_seq"))).alias("_content"), F.min_by(F.when(named, F.col("title")), F.when(named, F.col("entry_seq"))).alias("_title"))
+    inside = F.col("run_start").isNotNull()
+    fixed = runs.join(found, ["file_id", "run_start"], "left").select(
         *[c for c in entries.columns if c not in ("include", "kind", "title", "starts_new")], "run_start",
-        F.when(inside, any_in).otherwise(F.col("include")).alias("include"),
-        F.when(inside & any_in & F.col("kind").isin("admin", "signature_only"), F.coalesce(content, "kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(inside & ~named, F.coalesce(title, "title")).otherwise(F.col("title")).alias("title"),
+        F.when(inside, F.col("_any")).otherwise(F.col("include")).alias("include"),
+        F.when(inside & F.col("_any") & F.col("kind").isin("admin", "signature_only"), F.coalesce("_content", "kind")).otherwise(F.col("kind")).alias("kind"),
+        F.when(inside & ~named, F.coalesce("_title", "title")).otherwise(F.col("title")).alias("title"),
         F.when(inside, F.col("entry_seq") == F.col("run_start")).otherwise(F.col("starts_new")).alias("starts_new"),
     )
     return fixed.select(*entries.columns, "run_start")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions import dates, fuzzy, names, text
+from pagegraph.operators._distinct import per_value
 from pagegraph.operators import checks, costs, headers, rules, store
 from pagegraph.plans.shapes import shape, shape_sql
 from pagegraph.session import table
@@ -35,12 +36,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Checks
 
 
-@query("""WITH p AS (SELECT source AS file_id, doc_id, lower(text) AS t, ' normal ' AS x FROM documents WHERE lang = 'en'),
+@query("""WITH p AS (SELECT source AS file_id, doc_id, lower(text) AS t FROM documents),
 q AS (SELECT *, doc_id % 7 = 0 AS neg, doc_id % 7 = 1 AS pos, doc_id % 3 AS day FROM p),
 r AS (SELECT file_id, doc_id, neg, pos, day, unnest(list_filter(['sinus', 'chest', 'rib', 'brain', 'head', 'skull', 'spine', 'abdomen', 'pelvis', 'knee', 'shoulder', 'hip', 'ankle', 'wrist', 'hand', 'foot', 'neck'], lambda g: contains(t, g))) AS region FROM q WHERE neg OR pos)
 SELECT DISTINCT a.file_id, '2022-05-0' || (a.day + 1) AS iso, least(a.doc_id, b.doc_id) AS first, greatest(a.doc_id, b.doc_id) AS second FROM r a JOIN r b ON a.file_id = b.file_id AND a.day = b.day AND a.region = b.region AND a.neg AND b.pos""")
 def contradictions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     said = F.when(F.col("doc_id") % 7 == 0, ": unremarkable.").when(F.col("doc_id") % 7 == 1, ": a fracture.").otherwise(": seen.")
     body = F.concat(F.lit("May "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(", 2022 "), "text", said)
     return checks.contradictions(docs.select(F.col("source").alias("file_id"), F.col("doc_id").alias("para_pos"), body.alias("text")))
@@ -93,11 +94,11 @@ def warnings_union(spark, sf_dir):
 
 
 @query("""SELECT file_id, doc_pos, greatest(0, 100 - CASE WHEN doc_pos % 3 = 0 THEN 35 ELSE 0 END - CASE WHEN author IS NULL AND NOT claimant_authored THEN 25 ELSE 0 END
- - CASE WHEN n_evidence = 0 THEN 30 WHEN n_evidence < 3 THEN 15 WHEN doc_pos % 2 = 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 4 = 0 THEN 10 ELSE 0 END) / 100.0 AS score,
+ - CASE WHEN n_evidence = 0 THEN 30 WHEN n_evidence < 3 THEN 15 WHEN doc_pos % 2 = 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 4 = 0 THEN 10 ELSE 0 END - CASE WHEN doc_pos % 3 = 1 AND doc_pos % 10 < 4 AND doc_pos % 5 <> 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 7 = 0 THEN 15 ELSE 0 END) / 100.0 AS score,
  greatest(0, 100 - CASE WHEN doc_pos % 3 = 0 THEN 35 ELSE 0 END - CASE WHEN author IS NULL AND NOT claimant_authored THEN 25 ELSE 0 END
- - CASE WHEN n_evidence = 0 THEN 30 WHEN n_evidence < 3 THEN 15 WHEN doc_pos % 2 = 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 4 = 0 THEN 10 ELSE 0 END) < 65 AS needs_review FROM {d} d""")
+ - CASE WHEN n_evidence = 0 THEN 30 WHEN n_evidence < 3 THEN 15 WHEN doc_pos % 2 = 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 4 = 0 THEN 10 ELSE 0 END - CASE WHEN doc_pos % 3 = 1 AND doc_pos % 10 < 4 AND doc_pos % 5 <> 0 THEN 20 ELSE 0 END - CASE WHEN doc_pos % 7 = 0 THEN 15 ELSE 0 END) < 65 AS needs_review FROM {d} d""")
 def quality_score(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumns({"date": F.when(F.col("doc_pos") % 3 != 0, F.col("iso")), "title": F.when(F.col("doc_pos") % 4 != 0, F.lit("Note")), "n_pages": F.lit(3), "n_first_hand": F.pmod("doc_pos", F.lit(2)), "convention_resolved": F.lit(True), "broken": F.lit(False)})
+    d = _docs(spark, sf_dir).withColumns({"date": F.when(F.col("doc_pos") % 3 == 2, F.col("iso")).when((F.col("doc_pos") % 3 == 1) & (F.col("doc_pos") % 10 < 4), "05/04/2022").when(F.col("doc_pos") % 3 == 1, "13/04/2022"), "title": F.when(F.col("doc_pos") % 4 != 0, F.lit("Note")), "n_pages": F.lit(3), "n_first_hand": F.pmod("doc_pos", F.lit(2)), "convention_resolved": F.col("doc_pos") % 5 == 0, "broken": F.col("doc_pos") % 7 == 0})
     return checks.quality(d).select("file_id", "doc_pos", "score", "needs_review")
 
 
@@ -118,12 +119,12 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 @query("SELECT doc_pos, CAST(day AS STRING) AS iso FROM {r} r")
 def canonical_date(spark, sf_dir):
-    return _raw(spark, sf_dir).select("doc_pos", dates.canonical_date(F.col("raw")).alias("iso"))
+    return per_value(_raw(spark, sf_dir), ["raw"], iso=dates.canonical_date(F.col("raw"))).select("doc_pos", "iso")
 
 
 @query("SELECT doc_pos, strftime(day, '%B %d, %Y') AS shown FROM {r} r")
 def display_date(spark, sf_dir):
-    return _raw(spark, sf_dir).select("doc_pos", dates.display_date(F.col("raw")).alias("shown"))
+    return per_value(_raw(spark, sf_dir), ["raw"], shown=dates.display_date(F.col("raw"))).select("doc_pos", "shown")
 
 
 @query("SELECT doc_pos, style = 2 AND extract(day FROM day) <= 12 AS ambiguous FROM {r} r")
@@ -195,7 +196,8 @@ def titles_similar(spark, sf_dir):
 
 # Text
 
-_PII_SQL = "coalesce(text, '')"
+_ASCII_SQL = f"regexp_replace(translate(coalesce(text, ''), '{text._ACCENTED}', '{text._BARE}'), '[^\\x00-\\x7f]', '?', 'g')"
+_PII_SQL = _ASCII_SQL
 for _p in text.PERSONAL:
     _PII_SQL = f"regexp_replace({_PII_SQL}, '{_p}', '', 'g')"
 _SECRET_SQL = "'api_key=' || md5(CAST(conv_id AS STRING)) || ' ' || text || ' https://u:' || turn || 'pw@host.example sk-proj-' || md5(CAST(turn AS STRING))"
@@ -203,9 +205,11 @@ for _p in text.SECRETS:
     _SECRET_SQL = f"regexp_replace({_SECRET_SQL}, '{_p}', '[redacted]', 'g')"
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace({_PII_SQL}, '\s{{2,}}', ' ', 'g'), ' ,;:|') AS scrubbed FROM documents WHERE lang = 'en'")
-def pii_scrub_en(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.pii_scrub(text.F.coalesce("text", F.lit(""))).alias("scrubbed"))
+@query(rf"SELECT doc_id, trim(regexp_replace({_PII_SQL}, '\s{{2,}}', ' ', 'g'), ' ,;:|') AS scrubbed FROM documents")
+def pii_scrub_ascii(spark, sf_dir):
+    """All texts without accents, where the dialects of patterns agree on what a letter is."""
+    plain = F.regexp_replace(text.strip_accents(F.coalesce("text", F.lit(""))), r"[^\x00-\x7f]", "?")
+    return table(spark, sf_dir, "documents").select("doc_id", text.pii_scrub(plain).alias("scrubbed"))
 
 
 @query()
@@ -220,20 +224,22 @@ def secret_redact(spark, sf_dir):
     return c.select("conv_id", "turn", text.redact_secrets(raw).alias("redacted"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 0 AS parse_error, CASE WHEN event_id % 10 = 0 THEN props || '}' END AS raw FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 0 AS parse_error, CASE WHEN event_id % 10 = 0 THEN '{' || props END AS raw FROM events""")
 def json_decode_defaults(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("props"))
-    good = e.select("event_id", "props", text.json_lenient(F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("Here it is: "), "props", F.lit(" - that is all."))), "k bigint").alias("j"))
-    bad = F.col("event_id") % 10 == 0
-    return good.select("event_id", F.col("j.k").alias("k"), bad.alias("parse_error"), F.when(bad, F.col("props")).alias("raw"))
+    """Answers with prose around them, of which every tenth is broken; the operator finds out which."""
+    broken = F.col("event_id") % 10 == 0
+    said = F.when(broken, F.concat(F.lit("{"), "props")).otherwise(F.concat(F.lit("Here it is: "), "props", F.lit(" - that is all.")))
+    e = table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    got = e.withColumn("j", text.json_lenient(F.col("said"), "k bigint"))
+    return got.select("event_id", F.col("j.k").alias("k"), F.col("j").isNull().alias("parse_error"), F.when(F.col("j").isNull(), F.col("said")).alias("raw"))
 
 
-@query("""WITH w AS (SELECT doc_id, CASE source WHEN 'src1' THEN 'clinical' WHEN 'src2' THEN 'imaging' WHEN 'src3' THEN 'functional' ELSE 'other' END AS kind, CAST(len(string_split_regex(trim(text), '\\s+')) AS INTEGER) AS words FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT doc_id, CASE source WHEN 'src1' THEN 'clinical' WHEN 'src2' THEN 'imaging' WHEN 'src3' THEN 'functional' ELSE 'other' END AS kind, CAST(len(string_split_regex(trim(text), '\\s+')) AS INTEGER) AS words FROM documents),
 c AS (SELECT *, CASE kind WHEN 'clinical' THEN 150 WHEN 'imaging' THEN 50 WHEN 'functional' THEN 200 ELSE 90 END AS ceiling FROM w)
 SELECT doc_id, words, ceiling, CASE WHEN words <= ceiling * 1.2 THEN 'warning' ELSE 'error' END AS severity FROM c WHERE words > ceiling""")
 def ceiling_check(spark, sf_dir):
     kind = F.when(F.col("source") == "src1", "clinical").when(F.col("source") == "src2", "imaging").when(F.col("source") == "src3", "functional").otherwise("other")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", kind.alias("kind"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), "text")
     return rules.ceiling_check(docs, text.word_count(F.col("text")), "kind").select("doc_id", "words", "ceiling", "severity")
 
 
@@ -308,9 +314,9 @@ def latest_per_group(spark, sf_dir):
     return store.latest(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def orphan_anti(spark, sf_dir):
-    return store.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return store.orphans(table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), "n_nationkey", "s_nationkey").select("n_nationkey", "n_name")
 
 
 @query("SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY text) AS first_key, count(*) OVER (PARTITION BY text) AS copies FROM documents")
@@ -334,17 +340,20 @@ def folder_tree_breadcrumbs(spark, sf_dir):
     return store.breadcrumbs(tree).select("id", "depth", F.array_join("path", " / ").alias("path"))
 
 
-@query("""WITH l AS (SELECT source, lower(text[1:1]) AS k, text[1:1] AS t, doc_id FROM documents), o AS (SELECT source, k, arg_min(t, doc_id) AS t, min(doc_id) AS f FROM l GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f) AS n FROM o)
+@query("""WITH l AS (SELECT source, lower(t) AS k, t, doc_id FROM (SELECT source, doc_id, regexp_replace(trim(text), '\\.+$', '') AS t FROM documents) WHERE t <> ''), o AS (SELECT source, k, arg_min(t, doc_id) AS t, min(doc_id) AS f FROM l GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f) AS n FROM o)
 SELECT source, string_agg(t, ', ' ORDER BY n) AS diagnoses FROM n WHERE n <= 5 GROUP BY source""")
 def top5_distinct(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.lit("diagnosis").alias("kind"), F.left("text", F.lit(1)).alias("text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("source", F.lit("diagnosis").alias("kind"), "text", "doc_id")
     return headers.diagnoses(docs, ["source"], "doc_id")
 
 
-@query("""SELECT doc_id, text[1:12] AS raw, doc_id % 4 = 0 AS parse_error FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, NULL, false FROM documents WHERE doc_id % 4 <> 0""")
+@query("""SELECT doc_id, doc_id AS n, text AS raw, true AS parse_error FROM documents UNION ALL SELECT doc_id, doc_id, NULL, false FROM documents""")
 def log_decode(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.left("text", F.lit(12))).otherwise(F.format_string('{"n": %d}', "doc_id")).alias("value"))
-    return files.decode_log(lines, "n bigint").select("doc_id", "raw", "parse_error")
+    """Each document's whole text as a bad line, and a good line beside it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.explode(F.array(F.col("text"), F.to_json(F.struct(F.col("doc_id").alias("n"), "text")))).alias("value"))
+    got = files.decode_log(lines, "n bigint")
+    return got.select("doc_id", F.coalesce("n", "doc_id").alias("n"), "raw", "parse_error")
 
 
 @query("""SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, stage, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM {c} c GROUP BY 1, 2""")

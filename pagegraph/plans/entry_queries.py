@@ -264,7 +264,7 @@ def heal_documents(spark, sf_dir):
     e = _by_order(spark, sf_dir)
     docs = segments.segment_documents(e)
     more = e.groupBy("file_id", "segment").agg(F.array_join(F.array_sort(F.collect_set(normalize_key(F.col("date")))), "|").alias("signature"), F.max(F.col("kind") == "imaging").alias("has_imaging"), F.min_by("marker_index", "entry_seq").alias("_i"), F.max("recipient").alias("recipient"))
-    ready = docs.join(more, ["file_id", "segment"]).withColumn("opens_printed", F.lit(False))
+    ready = docs.join(more, ["file_id", "segment"]).withColumn("opens_printed", F.col("_i") == 1)
     return healing.heal_documents(ready).select("file_id", "segment", "document")
 
 
