@@ -1,4 +1,4 @@
-"""Dates as they stand in records, read by built-in functions only.
+"""Dates as they stand in records, read by built-in functions only.
 
 A date stays a string here: the numeric and compact forms are not checked against the calendar, so 02/31/2022
 gives 2022-02-31. ``valid_date`` is the checked one.

@@ -1,4 +1,4 @@
-"""Scrubbing, redaction and small text functions (X01-X09, T01-T03, T08-T31), all of them built-in expressions."""
+"""Scrubbing, redaction and small text functions (X01, X04, X05, T01, T02, T11, T12, T19, T25, M06, M07, P17), all of them built-in expressions."""
 
 from __future__ import annotations
 
@@ -53,12 +53,12 @@ def _each(text: Column, patterns: Sequence[str], by: str) -> Column:
 
 def _without_personal(text: Column, patterns: Sequence[str]) -> Column:
     """The same with nothing in their place; the pattern of addresses is tried only where one can end."""
-    for p in patterns:
-        if "Street" in p:
-            text = let(text, lambda t, p=p: F.when(t.rlike(_STREET), F.regexp_replace(t, p, "")).otherwise(t))
-        else:
-            text = F.regexp_replace(text, p, "")
-    return text
+    def one(text: Column, p: str) -> Column:
+        if "Street" not in p:
+            return F.regexp_replace(text, p, "")
+        return let(text, lambda t: F.when(t.rlike(_STREET), F.regexp_replace(t, p, "")).otherwise(t))
+
+    return reduce(one, patterns, text)
 
 
 def pii_scrub(text: Column, patterns: Sequence[str] = PERSONAL) -> Column:

@@ -1,4 +1,4 @@
-"""What a whole file says about its documents: contradictions, duplicates, absences, odd dates, quality."""
+"""What a whole file says about its documents: contradictions, duplicates, absences, odd dates, quality."""
 
 from __future__ import annotations
 
@@ -101,6 +101,13 @@ def all_warnings(*checks: tuple[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def document_dates(documents: DataFrame) -> DataFrame:
+    """The dates of each file's documents that can be read, in order (D11); documents: file_id, doc_pos, date."""
+    dated = per_value(documents, ["date"], iso=canonical_date(F.col("date"))).where("iso is not null")
+    listed = F.array_sort(F.collect_list(F.struct("doc_pos", "iso")))
+    return dated.groupBy("file_id").agg(F.transform(listed, lambda x: x["iso"]).alias("dates"))
+
+
 def date_convention(samples: DataFrame) -> DataFrame:
     """day_first of each file, null where its dates do not settle it, and the votes."""
     votes = samples.groupBy("file_id").agg(F.count_if(votes_day_first(F.col("raw"))).alias("day_votes"), F.count_if(votes_month_first(F.col("raw"))).alias("month_votes"))

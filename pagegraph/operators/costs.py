@@ -1,4 +1,4 @@
-"""What model calls cost, at several grains."""
+"""What model calls cost, at several grains."""
 
 from __future__ import annotations
 

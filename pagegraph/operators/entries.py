@@ -1,4 +1,4 @@
-"""Page entries: filling, expanding, printed runs, identity carried forward.
+"""Page entries: filling, expanding, printed runs, identity carried forward.
 
 An entry has file_id and entry_seq, its place in the file. Operators are DataFrame to DataFrame, and each works within
 a file, so a file's entries meet in one window partition; a file has some hundred pages.
@@ -115,6 +115,17 @@ def numbered(rows: DataFrame, counts: Column, *order: str) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, length: Column, budget: int, *order: str) -> DataFrame:
-    """Rows of each file until the lengths before them reach the budget."""
-    before = F.coalesce(F.sum(length).over(by_file(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before.cast("bigint")).where(F.col("before") < budget)
+    """Rows of each file until the lengths before them reach the budget.
+
+    What is before a row in its own partition is before it in the file, so each partition is cut first, and the rows of
+    a file that meet in one task are those that the budget may hold from each partition, not the whole file.
+    """
+    order = order or ("entry_seq",)
+    measured = rows.withColumns({"_part": F.spark_partition_id(), "_length": length})
+
+    def before(*keys: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_length").over(w), F.lit(0)).cast("bigint")
+
+    near = measured.withColumn("before", before("file_id", "_part")).where(F.col("before") < budget)
+    return near.withColumn("before", before("file_id")).where(F.col("before") < budget).drop("_part", "_length")

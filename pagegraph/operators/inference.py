@@ -1,4 +1,4 @@
-"""Model calls as an operator: a client behind a protocol, prompts as rows, errors as a column.
+"""Model calls as an operator: a client behind a protocol, prompts as rows, errors as a column.
 
 The engine never calls a service by itself; the default client answers from the prompt alone, the same every time.
 """

@@ -1,4 +1,4 @@
-"""Rules of document types, and what follows from them."""
+"""Rules of document types, and what follows from them."""
 
 from __future__ import annotations
 

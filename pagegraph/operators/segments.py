@@ -1,4 +1,4 @@
-"""From entries to documents: segmentation, sub-sections, and what a document takes from its entries.
+"""From entries to documents: segmentation, sub-sections, and what a document takes from its entries.
 
 ``segment_dated`` is the exact operator. What it carries from entry to entry belongs to the run that it helps to
 delimit, and its comparisons are fuzzy, so it folds over the files in Python. ``segment_islands`` is a

@@ -1,4 +1,4 @@
-"""Tables of files and jobs: latest rows, content keys, orphans, trees, top lists, upserts."""
+"""Tables of files and jobs: latest rows, content keys, orphans, trees, top lists, upserts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Readers and writers: logs of JSON lines, layouts, binary files, results."""
+"""Readers and writers: logs of JSON lines, layouts, binary files, results."""
 
 from __future__ import annotations
 

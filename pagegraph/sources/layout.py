@@ -1,4 +1,4 @@
-"""Layouts of pages: cell lists, fields, and the block of lines that a prompt has of them.
+"""Layouts of pages: cell lists, fields, and the block of lines that a prompt has of them.
 
 A layout is page_number, analyzed, tables (headers and rows of cells) and fields (label and value); a page has one.
 """

@@ -1,4 +1,4 @@
-"""The running cost of model calls, as a stream."""
+"""The running cost of model calls, as a stream."""
 
 from __future__ import annotations
 

@@ -36,8 +36,29 @@ def test_fallbacks(spark):
     assert {r.unit_id: r.text for r in I.answers_or_fallback(units, answers).collect()} == {"a": "told", "b": "fb", "d": "fd"}
 
 
-def test_routing_labels():
-    assert [I.is_routing_label(x) for x in ("Family Physican", "Accession Number", "CC:", "Provided care", "Provider", None, "")] == [True, False, True, False, True, False, False]
+def test_routing_labels(spark):
+    labels = {"Admiting": True, "Attn/CC": True, "REFERRED_BY": True, "Requested-by:": True, "Adressed to": True, "copies  to": True, "Accounting": False, "Copyright": False, "Referral date": False, "to copy": False, "attends": False, None: False, "": False}
+    rows = spark.createDataFrame([(k, v, "x") for k, v in labels.items()], "label string, want boolean, routing string")
+    assert all(r.routing == r.want for r in I.with_routing(rows.drop("routing")).collect())
+    assert I.with_routing(rows.drop("routing").limit(0)).count() == 0
+
+
+class Partial:
+    """Lacks a field at first."""
+
+    def __init__(self):
+        self.n = 0
+
+    def complete(self, prompt):
+        self.n += 1
+        return "[]" if prompt == "list" else json.dumps({"clusters": []} if self.n % 2 == 0 else {"other": 1})
+
+
+def test_answers_are_checked(spark):
+    rows = spark.createDataFrame([("list",), ("ok",)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.answer, r.error) for r in I.infer(rows, "prompt", Partial(), tries=2, wait=nothing, required=I.required_fields("identities")).collect()}
+    assert got["list"] == (None, "ValueError: the answer is not a JSON object") and got["ok"][0] == '{"clusters": []}'
+    assert I.required_fields("opinion") == ("header", "definition", "opinion")
 
 
 def test_evidence_and_log(spark):
