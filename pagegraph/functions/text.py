@@ -152,7 +152,11 @@ def file_kind(name: Column, content_type: Column) -> Column:
     return F.coalesce(*[F.when(test | ext.isin(*exts), F.lit(kind)) for kind, test, exts in kinds], F.lit("download"))
 
 
-def export_name(source: Column) -> Column:
-    """A file stem that is safe to write."""
-    stem = F.regexp_replace(source, r"\.[^.]*$", "")
-    return F.concat(F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(stem, r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("export")), F.lit(".doc"))
+def export_name(source: Column, patient: Column | None = None) -> Column:
+    """The name of a result's file: the patient and the source's stem, with other signs as hyphens."""
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce(source, F.lit("")), r"([^/]*)/*$", 1), r"(?<=[^.])\.[^.]*$", "")
+    if patient is not None:
+        who = F.trim(F.regexp_replace(F.coalesce(patient, F.lit("")), r"[^\p{L}\p{N} -]", ""))
+        stem = F.when(who != "", F.concat(who, F.lit(" - "), stem)).otherwise(stem)
+    safe = F.regexp_replace(F.regexp_replace(stem, r"[^\p{L}\p{N} _-]", "-"), r"^[ _-]+|[ _-]+$", "")
+    return F.concat(F.coalesce(F.nullif(safe, F.lit("")), F.lit("extractive-summary")), F.lit(".doc"))

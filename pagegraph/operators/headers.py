@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pagegraph.functions.text import clean_text, spell_number
 from pagegraph.operators.linkage import majority
 
+# How many diagnoses are listed, and how the statement of capture ends.
 MOST_DIAGNOSES = 5
+REVIEWED = "All information has been reviewed and summarized below as necessary."
 MOST_EXAMPLES, EXCERPT = 6, 200
 
 
@@ -46,8 +48,9 @@ def name_variants(entries: DataFrame) -> DataFrame:
 
 
 def capture_statement(pages: Column, first: Column, last: Column, patients: Column) -> Column:
-    """How many pages there are, and, if there are several patients, which ones are this one's."""
+    """How many pages there are, and, if there are several patients, which ones are this one's (T23); blank without pages."""
     words = spell_number(pages)
     head = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000), F.when(pages == 1, " page has").otherwise(" pages have"), F.lit(" been provided."))
-    return F.when(patients > 1, F.concat(head, F.lit(" Pages "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" concern this patient."))).otherwise(head)
-
+    own = F.when(first == last, F.concat(F.lit("Page "), first.cast("string"), F.lit(" relates to this claimant."))).otherwise(F.concat(F.lit("Pages "), first.cast("string"), F.lit(" to "), last.cast("string"), F.lit(" relate to this claimant.")))
+    several = (patients > 1) & (F.coalesce(first, F.lit(0)) > 0) & (F.coalesce(last, F.lit(0)) > 0)
+    return F.when(F.coalesce(pages, F.lit(0)) <= 0, "").otherwise(F.concat_ws(" ", head, F.when(several, own), F.lit(REVIEWED)))

@@ -1,4 +1,4 @@
-"""Model calls as an operator: a client behind a protocol, prompts as rows, errors as a column.
+"""Model calls as an operator: a client behind a protocol, prompts as rows, errors as a column.
 
 The engine never calls a service by itself; the default client answers from the prompt alone, the same every time.
 """
@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from pagegraph.functions.dates import display_date
 from pagegraph.functions.fuzzy import sequence_ratio
-from pagegraph.functions.wording import scrub_opinion
+from pagegraph.functions.names import clean_title, format_author
+from pagegraph.functions.wording import kind_label, scrub_opinion
 
 # Tries of a call, and the longest pause between them, in seconds.
 TRIES, LONGEST_PAUSE = 5, 60
@@ -27,6 +29,9 @@ TRIES, LONGEST_PAUSE = 5, 60
 ROUTING = ("ordering", "deliver to", "delivered to", "family physician", "admitting", "consulting", "referred by", "referring", "provider", "copy to", "copies to", "cc", "attention", "attn", "addressed to", "requested by")
 SAME_WORD, SHORT_WORD = 0.9, 4
 
+# Fixed value: characters of a whole text that go into a prompt.
+FULL_TEXT = 12000
+
 
 class InferenceClient(Protocol):
     """What the operator asks of a client; it must be picklable."""
@@ -42,6 +47,11 @@ class StubClient:
         return json.dumps({"digest": hashlib.sha256(prompt.encode()).hexdigest(), "length": len(prompt)})
 
 
+def pause_column(attempt: Column) -> Column:
+    """The same for a column."""
+    return F.least(F.lit(LONGEST_PAUSE), F.pow(F.lit(2), attempt)).cast("int")
+
+
 def pause(attempt: int) -> int:
     """Seconds to wait after a failed try."""
     return min(LONGEST_PAUSE, 2**attempt)
@@ -186,3 +196,30 @@ def with_opinions(headers: DataFrame, answers: DataFrame, fields: Sequence[str],
     said = F.when(F.col("_t").isNull(), F.lit(none)).otherwise(scrub_opinion(F.coalesce("_t.definition", F.lit(""))))
     opinion = scrub_opinion(F.coalesce("_t.opinion", F.lit("")))
     return joined.withColumns({**corrected, "definition": said, "opinion": opinion}).drop("_t")
+
+
+def by_position(batches: DataFrame) -> DataFrame:
+    """Pages of each batch with the entry at their place in the answer, whatever page it claims to be.
+
+    batches: batch_id, pages (numbers) and entries (strings). A batch of several pages whose answer has another number
+    of entries gives each page alone and no entry: again says that it has to be asked once more. A single page takes
+    the first entry, or none.
+    """
+    several = F.size("pages") > 1
+    again = several & (F.size("entries") != F.size("pages"))
+    rows = batches.select("batch_id", again.alias("again"), "entries", F.posexplode("pages").alias("at", "page_number"))
+    return rows.select("batch_id", "page_number", F.when(~F.col("again"), F.get("entries", F.col("at"))).alias("entry"), "again")
+
+
+def unit_contexts(units: DataFrame) -> DataFrame:
+    """What a summary's prompt has of each unit, as JSON (P13): a unit's own date and author, else its document's; whole text only where the rule asks for it.
+
+    units: unit_id, sub_date, date, title, bucket, sub_author, author, claimant_authored, n_units, max_words, rule_type, rule_action, custom_type, markdown.
+    """
+    own = {
+        "subsection_id": F.col("unit_id"), "date": F.coalesce(F.nullif(display_date(F.col("sub_date")), F.lit("")), display_date(F.col("date")), F.lit("")), "title": F.coalesce(clean_title(F.col("title")), F.lit("")),
+        "label": kind_label(F.col("bucket")), "document_bucket": F.col("bucket"), "author": F.coalesce(format_author(F.coalesce(F.nullif("sub_author", F.lit("")), F.col("author")), F.lit(False), F.lit(None).cast("string")), F.lit("")),
+        "claimant_authored": F.coalesce("claimant_authored", F.lit(False)), "is_multi_unit_document": F.col("n_units") > 1, "maximum_words": F.col("max_words"),
+        "rule_document_type": F.coalesce("rule_type", F.nullif("custom_type", F.lit("")), "bucket"), "full_text": F.when(F.col("rule_action") == "full_data", F.nullif(F.left(F.trim("markdown"), F.lit(FULL_TEXT)), F.lit(""))),
+    }
+    return units.select("unit_id", F.to_json(F.struct(*[v.alias(k) for k, v in own.items()])).alias("context"))

@@ -12,13 +12,17 @@ from pagegraph.plans.shapes import CALLS
 from pagegraph.streaming.costs import run_available, running_cost
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagegraph-")
+def shared_home(spark: SparkSession) -> str:
+    """The folder that all executors see; one made here only where everything runs in one machine."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (known or tempfile.mkdtemp(prefix="pagegraph-")).rstrip("/")
 
 
 def streamed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each batch writes its changed totals; the last ones of each day and stage are the result."""
-    home = f"{_shared(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_home(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     totals = running_cost(spark.sql(CALLS, events=events))

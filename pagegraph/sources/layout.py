@@ -1,4 +1,4 @@
-"""Layouts of pages: cell lists, fields, and the block of lines that a prompt has of them.
+"""Layouts of pages: cell lists, fields, and the block of lines that a prompt has of them.
 
 A layout is page_number, analyzed, tables (headers and rows of cells) and fields (label and value); a page has one.
 """
@@ -44,6 +44,26 @@ def pair_fields(pairs: DataFrame) -> DataFrame:
     return whole.groupBy("page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("pair_seq", "label", "value"))), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("fields"))
 
 
+def block_texts(blocks: DataFrame) -> DataFrame:
+    """page_number, parent and text: what the words and ticked boxes below each block say, in order.
+
+    blocks: page_number, id, block_type, text, selected, entity_types, children and values (ids).
+    """
+    below = blocks.select("page_number", F.col("id").alias("parent"), F.posexplode("children").alias("pos", "id"))
+    said = F.when(F.col("block_type") == "WORD", F.coalesce("text", F.lit(""))).when((F.col("block_type") == "SELECTION_ELEMENT") & F.col("selected"), "[X]")
+    words = below.join(blocks.select("page_number", "id", said.alias("said")), ["page_number", "id"]).where("said is not null")
+    return words.groupBy("page_number", "parent").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), " ")).alias("text"))
+
+
+def block_fields(blocks: DataFrame) -> DataFrame:
+    """page_number, id, label and value of each key block that has both; of several values the last counts."""
+    texts = block_texts(blocks)
+    keys = blocks.where((F.col("block_type") == "KEY_VALUE_SET") & F.array_contains("entity_types", "KEY"))
+    last = keys.select("page_number", "id", F.try_element_at("values", F.lit(-1)).alias("value_id"))
+    labels, values = (texts.select("page_number", F.col("parent").alias(key), F.col("text").alias(name)) for key, name in (("id", "label"), ("value_id", "value")))
+    return last.join(labels, ["page_number", "id"]).join(values, ["page_number", "value_id"]).where("label <> '' and value <> ''").select("page_number", "id", "label", "value")
+
+
 def analysed(answers: DataFrame) -> DataFrame:
     """Layouts of answers (page_number, answer, error); a page whose call failed is there, not analyzed and empty."""
     told = F.from_json("answer", f"tables {TABLES}, fields {FIELDS}")

@@ -166,7 +166,7 @@ def test_diagnoses_and_statement(spark):
     df = spark.createDataFrame(rows, "file_id int, at int, kind string, text string")
     assert headers.diagnoses(df, ["file_id"], "at").first().diagnoses == "Flu, Cold, A, B, C"
     said = spark.range(1).select(headers.capture_statement(F.lit(338), F.lit(1), F.lit(9), F.lit(1)).alias("x")).first().x
-    assert said == "Three hundred and thirty-eight pages have been provided."
+    assert said == "Three hundred and thirty-eight pages have been provided. All information has been reviewed and summarized below as necessary."
 
 
 def test_layout(spark):
