@@ -61,25 +61,47 @@ class Shard:
     place: np.ndarray
 
 
-def named(hashes: np.ndarray, data: np.ndarray | None = None, size: int = STEP) -> np.ndarray:
-    """Names of symbols: ranks of their hashes, from END + 1 on. With ``data``, the bytes of equal names are compared, and are the names if they differ."""
-    _, first, name = np.unique(hashes, return_index=True, return_inverse=True)
-    if data is not None and len(hashes):
-        windows = np.lib.stride_tricks.sliding_window_view(data, size)
-        for at in range(0, len(hashes), 1 << 16):
-            if (windows[at : min(at + (1 << 16), len(hashes))] != windows[first[name[at : at + (1 << 16)]]]).any():
-                name = np.unique(np.ascontiguousarray(windows[: len(hashes)]).view(f"V{size}").ravel(), return_inverse=True)[1]
-                break
-    return name.astype(np.int64) + END + 1
+def _order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A stable argsort of keys below 2 ** bits: place and key are sorted as one number, which is much faster."""
+    width = max(1, int(len(keys)).bit_length())
+    if bits + width > 63:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.int64) << width) | np.arange(len(keys))
+    packed.sort()
+    return packed & ((1 << width) - 1)
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of pairs (or single values)."""
-    _, first = np.unique(keys[0], return_inverse=True)
-    for key in keys[1:]:
-        _, second = np.unique(key, return_inverse=True)
-        _, first = np.unique(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second, return_inverse=True)
-    return first
+def _dense(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the keys, from 0, and the first place of each."""
+    order = _order(keys, bits)
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, order[fresh]
+
+
+def named(hashes: np.ndarray, data: np.ndarray | None = None, size: int = STEP) -> np.ndarray:
+    """Names of symbols: ranks of their hashes, from END + 1 on.
+
+    With ``data``, the bytes of equal names are compared. Then as many bits of the hash as sort fast are tried first;
+    where bytes differ, the whole hash, and where they still do, the bytes are the names.
+    """
+    if data is None or not len(hashes):
+        return np.unique(hashes, return_inverse=True)[1].astype(np.int64) + END + 1
+    windows = np.lib.stride_tricks.sliding_window_view(data, size)[: len(hashes)]
+
+    def fits(name: np.ndarray, first: np.ndarray) -> bool:
+        parts = range(0, len(hashes), 1 << 16)
+        return not any((windows[at : at + (1 << 16)] != windows[first[name[at : at + (1 << 16)]]]).any() for at in parts)
+
+    bits = 63 - max(1, int(len(hashes)).bit_length())
+    name, first = _dense((hashes >> np.uint64(64 - bits)).astype(np.int64), bits)
+    if not fits(name, first):
+        _, first, name = np.unique(hashes, return_index=True, return_inverse=True)
+        if not fits(name, first):
+            name = np.unique(np.ascontiguousarray(windows).view(f"V{size}").ravel(), return_inverse=True)[1]
+    return name.astype(np.int64) + END + 1
 
 
 def shard_of(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int, step: int = STEP) -> Shard:
@@ -90,41 +112,37 @@ def shard_of(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, depth:
     size = np.repeat(count, count)
     name = symbols[place]
     # Ranks by 1, 2, 4, ... symbols; a suffix that has ended ranks below all others.
-    rank, reach = _ranks(name) + 1, 1
+    rank, reach = name - END, 1
     index = np.arange(len(place))
     while reach < depth:
         inside = own + reach * step < size
         behind = np.where(inside, rank[np.minimum(index + reach * step, max(0, len(place) - 1))], 0)
-        rank, reach = _ranks(rank, behind) + 1, reach * 2
-    order = np.argsort(rank, kind="stable")
+        span = int(rank.max(initial=0)) + 1
+        rank, reach = _dense(rank * span + behind, 2 * span.bit_length())[0] + 1, reach * 2
+    order = _order(rank, int(rank.max(initial=0)).bit_length())
     before = np.where(own >= step, name[np.maximum(index - step, 0)], END)
     last = np.flatnonzero(own + step >= size)  # the symbol before each empty suffix, and each chain has one
     return Shard(np.concatenate([name[last], before[order]]), np.concatenate([np.full(len(last), -1), place[order]]))
 
 
-def _stable(keys: np.ndarray) -> np.ndarray:
-    """A stable argsort of names, which are small."""
-    bits = max(1, int(len(keys)).bit_length())
-    packed = (keys << bits) | np.arange(len(keys))
-    packed.sort()
-    return packed & ((1 << bits) - 1)
-
-
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """place of each suffix of all shards in order of ``depth`` symbols, and its class."""
-    interleave = np.concatenate([np.full(len(s.before), k, np.int32) for k, s in enumerate(shards)])
-    group = np.zeros(len(interleave), np.int64)
-    place = np.empty(len(interleave), np.int64)
+    # Small numbers, since what takes time is to move them about.
+    interleave = np.concatenate([np.full(len(s.before), k, np.int16) for k, s in enumerate(shards)])
+    befores = [s.before.astype(np.int32) for s in shards]
+    bits = int(max(b.max(initial=0) for b in befores)).bit_length()
+    group = np.zeros(len(interleave), np.int32)
     for _ in range(depth):
-        before = np.empty(len(interleave), shards[0].before.dtype)
-        for k, shard in enumerate(shards):
-            before[interleave == k] = shard.before
-        order = _stable(before)
+        before = np.empty(len(interleave), np.int32)
+        for k, own in enumerate(befores):
+            before[interleave == k] = own
+        order = _order(before, bits)
         symbol, older = before[order], group[order]
         border = np.ones(len(order), bool)
         border[1:] = (symbol[1:] != symbol[:-1]) | (older[1:] != older[:-1]) | (symbol[1:] == END)
-        group = np.cumsum(border) - 1
+        group = np.cumsum(border, dtype=np.int32) - np.int32(1)
         interleave = interleave[order]
+    place = np.empty(len(interleave), np.int64)
     for k, shard in enumerate(shards):
         place[interleave == k] = shard.place
     return place, group
