@@ -1,7 +1,12 @@
 """From documents to token files: language, near-duplicates, benchmark items, mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the
-docs of the next. All but the last keep the columns of ``documents``.
+docs of the next. All but the last keep the columns of ``documents``, and any others.
+
+Edge cases, in every stage: a null text is an empty one (it has no language and goes in the first stage; near-duplicate,
+blank texts are alike); a null doc_id or source is a value like any other; repeated rows are near-duplicates of each
+other, and separate rows elsewhere; an empty table gives an empty result; other columns pass through, whatever they are
+called. What the stages write stays in the shared folder until ``pagegraph.llm._shared.cleared`` is called.
 """
 
 from __future__ import annotations

@@ -40,9 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``cleared`` removes what was written there."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleared(spark: SparkSession) -> int:
+    """Removes all that this process wrote under ``shared_path``, when its results are no longer read; gives how many paths there were.
+
+    What ``cut`` wrote is Spark's to remove: spark.cleaner.referenceTracking.cleanCheckpoints says whether it does.
+    """
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def _default(spark: SparkSession) -> str:

@@ -38,6 +38,8 @@ BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 #: Rows of a language that are learned from, about; the bound of the sample.
 PER_LANGUAGE = 20_000
+#: Languages that may be learned; their counts, BUCKETS of each, come to the driver, and more is an error.
+MOST_LANGUAGES = 500
 #: Gap between the two best scores below which a text is flagged.
 AMBIGUOUS = 0.2
 #: Score below which ``accepted`` rejects a text: a text in equal parts of two languages has about half for each.
@@ -151,6 +153,9 @@ class LanguageModel:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fits a model on the labelled rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    n = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.join(small(share), "lang").where(draw < F.col("share")).select("lang", "text")

@@ -3,13 +3,14 @@
 The tokens of each source give its target; target over tokens is its rate. Every document is emitted
 floor(rate) times, and once more where a hash of its doc_id falls below the rate's fraction. The hash gives
 each document one number; ``draws`` shifts of it are as many draws, and each source takes the draw whose
-total comes nearest its target, so that small sources are met as well. Reruns agree: a draw depends on
-nothing but the doc_id.
+total comes nearest its target, so that small sources are met as well. (Choosing among draws means that in a source of
+very few documents the chance of one more copy is not quite the fraction; with ``draws`` 1 it is.) Reruns agree: a draw
+depends on nothing but the doc_id.
 
 Targets: the sources, in order of their code points and null last, weigh ``weights`` over and over, and share
-all tokens. A target stops at ``most`` times its source's tokens; what is over is shared again by weight. In
-closed form: by the quotient of limit and weight, the first k sources stop at their limits and the others get
-the same multiple of their weights.
+all tokens. A target stops at ``most`` times its source's tokens; what is over is shared again by weight, in rounds:
+each is an aggregate over the sources, of which the next stops those that its level lifts above their limits. There
+are at most as many rounds as sources that stop one after the other, in practice a few.
 
 Edge cases: a null text has no tokens; sources without tokens get target 0; a null source is a source; a null
 doc_id draws as the empty text; repeated rows draw alike; an empty table gives an empty result. Other columns

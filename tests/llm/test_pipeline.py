@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
+from pagegraph.llm import _shared
 from pagegraph.llm._tokenize import FastEncoder
 from pagegraph.llm.language_id import language_id
 from pagegraph.llm.repeats import repeat_dedup
@@ -113,6 +114,14 @@ def test_stages_on_awkward_rows(spark, awkward, name):
     assert stage(spark, awkward.limit(0), DIR).count() == 0
 
 
+def test_written_files_can_be_removed(spark, awkward):
+    paths = list(_shared._made)
+    token_planes(awkward, TOKENIZER, 2).count()
+    path = _shared._made[-1]
+    assert path not in paths and os.listdir(path)
+    assert _shared.cleared(spark) == len(paths) + 1 and not os.path.exists(path) and not _shared._made
+
+
 def test_operators_on_awkward_rows(spark, awkward):
     n = awkward.count()
     assert simhash_components(awkward).count() == n and simhash_components(awkward.limit(0)).count() == 0
