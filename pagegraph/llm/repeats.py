@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm._bytes import buffer_of, ragged, slices
-from pagegraph.llm._shared import cut, given_back, text_of
+from pagegraph.llm._shared import cut, given_back, small, text_of
 from pagegraph.llm.bwt import STEP, named, repeated, shard_of, window_hashes
 
 WIDTH = 400
@@ -234,7 +234,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     crowd = ranged.where("crowded")
     if not crowd.isEmpty():
         parts = parts.union(_crowded(crowd))
-    whole = near.where("alike").select("key", "spot").union(near.where(~F.col("alike")).join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("key", "spot"))
+    whole = near.where("alike").select("key", "spot").union(near.where(~F.col("alike")).join(small(contexts.where("n > 1").select("gram", "context")), ["gram", "context"], "left_semi").select("key", "spot"))
     return whole.select("key", (place - far).alias("first"), (place - near_by + WIDTH).alias("last")).union(parts.select("key", (place - F.col("high")).alias("first"), (place - F.col("low") + WIDTH).alias("last")))
 
 
