@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     near = cut(anchors.join(grams, "gram"))
     contexts = near.where(~F.col("alike")).groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one"))
     contexts = cut(contexts.select("gram", "context", "n", "one.key", "one.spot"))
-    by_gram = contexts.groupBy("gram").agg(F.count("*").alias("others"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
+    by_gram = cut(contexts.groupBy("gram").agg(F.count("*").alias("others"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0"))
     needed = contexts.join(by_gram, "gram").select("key", "spot", "gram", (F.col("n") > 1).alias("many"), (F.col("others") > CROWD).alias("crowded"))
     fetched = cut(_fetched(docs, needed))
     place, near_by, far = F.shiftright("spot", 2 * _BITS), F.shiftright("spot", _BITS).bitwiseAND((1 << _BITS) - 1), F.col("spot").bitwiseAND((1 << _BITS) - 1)
