@@ -110,7 +110,10 @@ def star_pairs(prints: DataFrame) -> DataFrame:
 
 
 def _variants(prints: DataFrame) -> DataFrame:
-    """key (variant and segment with the bit blanked), mark (that bit, and the last word's other 63), node and group."""
+    """key (variant and segment with the bit blanked), mark (that bit, and the last word's other 63), node, and group.
+
+    The group is given as its difference from the node, which is 0 in most rows and so packs well.
+    """
     per = PER_WORD * SEGMENT_BITS
     n, v = WORDS * per, F.col("v")
     shift = F.call_function("shiftleft", F.lit(1), F.pmod(v, F.lit(SEGMENT_BITS)))
@@ -119,7 +122,7 @@ def _variants(prints: DataFrame) -> DataFrame:
     key = F.call_function("shiftleft", v, F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(shift)))
     bit = F.when(segment.bitwiseAND(shift) != 0, F.lit(-(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     rows = prints.select("node", "group", *_PRINTS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("v"))
-    return rows.select(key.alias("key"), F.col(_PRINTS[WORDS]).bitwiseAND(F.lit(_LOW)).bitwiseOR(bit).alias("mark"), "node", "group")
+    return rows.select(key.alias("key"), F.col(_PRINTS[WORDS]).bitwiseAND(F.lit(_LOW)).bitwiseOR(bit).alias("mark"), "node", F.col("node").bitwiseXOR(F.col("group")).alias("group"))
 
 
 def _alike(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,6 +241,7 @@ def candidates(grouped: DataFrame, blocks: int, wide: int = WIDE, held: int = HE
         found = _Found(blocks)
         empty = pa.array([None], pa.list_(pa.int64()))
         for chunk, (key, mark, node, group) in _by_variant(batches, held):
+            group = node ^ group
             if chunk is None:
                 pairs = list(_pairs_of(key.astype(np.int64), mark.view(np.uint64), group, wide))
                 x, y = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
