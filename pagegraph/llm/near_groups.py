@@ -55,6 +55,8 @@ BLOCK_BYTES = 16 << 20
 PAIRS = 1 << 20
 #: Texts whose shingles are fetched by broadcast of their ids; more of them by a shuffled join.
 FETCHED_ROWS = 100_000
+#: Texts whose hashes are broadcast in the end; 8 bytes each.
+ODD_ROWS = 1_000_000
 
 _PRINTS = [f"f{k}" for k in range(WORDS + 1)]
 _LOW = (1 << 63) - 1
@@ -398,9 +400,9 @@ def _tile_links(rows: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, held: int = HELD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key (hash of the text), keep_id and keep_key (the doc_id that stays, and its text's hash) of every distinct text."""
+    """key (hash of the text), n_rows, keep_id and keep_key (the doc_id that stays, and its text's hash) of every distinct text."""
     rows = docs.select(F.xxhash64(text_of(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), *[F.min(f).alias(f) for f in ("n", *_PRINTS)])
+    each = wide_prints(rows).groupBy("key").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n_rows"), *[F.min(f).alias(f) for f in ("n", *_PRINTS)])
     each = cut(each.withColumn("node", F.coalesce("keep", "key")))
     prints = each.select("node", *_PRINTS)
     links = _verified(star_pairs(prints), each, rows)
@@ -420,12 +422,23 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     first = F.struct(F.col("keep").isNull().alias("last"), F.col("keep").alias("keep_id"), F.col("key").alias("keep_key"))
     least = linked.join(each.select("node", "keep", "key"), "node").groupBy("component").agg(F.min(first).alias("first"))
     of_node = linked.join(least, "component").select("node", "first")
-    return cut(each.join(of_node, "node", "left").withColumn("first", F.coalesce("first", first)).select("key", "first.keep_id", "first.keep_key"))
+    return cut(each.join(of_node, "node", "left").withColumn("first", F.coalesce("first", first)).select("key", "n_rows", "first.keep_id", "first.keep_key"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, held: int = HELD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one row of each group."""
-    groups = near_groups(docs, doc_id, text, wide, held, block_bytes).where("key = keep_key")
-    groups = groups.select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
-    stays = docs.withColumn("_key", F.xxhash64(text_of(text))).join(groups, "_key").where(F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep")))
-    return stays.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, held: int = HELD, block_bytes: int = BLOCK_BYTES, odd_rows: int = ODD_ROWS) -> DataFrame:
+    """docs with one row of each group.
+
+    Most texts are alone in their group and in one row. Where the others are up to ``odd_rows`` texts, their hashes are
+    broadcast: rows of none of them stay where they are, and only the rows that stay of texts in several rows are
+    shuffled. Beyond that, all rows are dealt out by the hash of their text, once.
+    """
+    spec = near_groups(docs, doc_id, text, wide, held, block_bytes)
+    keyed = docs.withColumn("_key", F.xxhash64(text_of(text)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stays = spec.where("key = keep_key").select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"), F.col("n_rows").alias("_n"))
+    own = F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep"))
+    odd = spec.where("key <> keep_key or n_rows > 1").select(F.col("key").alias("_key"))
+    if odd.limit(odd_rows + 1).count() > odd_rows:
+        return keyed.join(stays, "_key").where(own).dropDuplicates(["_key"]).select(*columns)
+    alone = keyed.join(F.broadcast(odd), "_key", "left_anti").select(*columns)
+    return alone.union(keyed.join(F.broadcast(stays.where("_n > 1")), "_key").where(own).dropDuplicates(["_key"]).select(*columns))

@@ -242,9 +242,10 @@ def test_near_recall():
     assert (shares & sketch & (np.bitwise_count(differ).sum(axis=1) <= g.WHOLE_MOST)).mean() > 0.955
 
 
-def test_near_repeated_rows(spark):
+@pytest.mark.parametrize("more", [{}, {"odd_rows": 2}])
+def test_near_repeated_rows(spark, more):
     r = random.Random(12)
     one, two, three = (words(r, 200, 5000) for _ in range(3))
     rows = [(1, one), (1, one), (None, one), (None, two), (None, two), (None, f"{two} more"), (7, three), (None, None), (None, "")]
-    got = near_dedup(frame(spark, rows)).collect()
+    got = near_dedup(frame(spark, rows), **more).collect()
     assert sorted((x.doc_id or 0, (x.text or "")[:40]) for x in got) == sorted([(1, one[:40]), (0, two[:40]), (7, three[:40]), (0, "")])
