@@ -6,7 +6,7 @@ SEGMENT_BITS bits are indexed under their one-wildcard variants; texts that shar
 differs by at most one bit) are compared by the last word, then by the whole fingerprint, and verified by the Jaccard
 index of the shingle sets themselves. The verified links make groups. Equal texts are one text before all this.
 
-A pair of similarity 0.8 shares a variant with probability 0.975, one of 0.85 with 0.997. Two unrelated texts share
+A pair of similarity 0.8 shares a variant with probability 0.975, one of 0.85 with 0.995 (computed). Two unrelated texts share
 one by chance once in about 500; where there are far more than ten million texts, SEGMENT_BITS should grow with the
 logarithm of their number, and WORDS with it.
 
