@@ -68,3 +68,16 @@ def visible_types(entries: DataFrame, key: DataFrame) -> DataFrame:
     e, k = entries.alias("e"), key.alias("k")
     meet = (F.col("e.file_id") == F.col("k.file_id")) & (F.col("e.page_start") <= F.col("k.page_end")) & (F.col("e.page_end") >= F.col("k.page_start"))
     return k.join(e, meet).groupBy("k.file_id", "k.key_id").agg(F.array_sort(F.collect_set(F.lower(F.coalesce("e.registered_type", F.lit(""))))).alias("types"))
+
+
+def spanning_entries(entries: DataFrame, traps: DataFrame) -> DataFrame:
+    """file_id, trap_id and how many entries have pages of both ranges that belong to separate documents.
+
+    traps: left_start, left_end, right_start and right_end. Traps without such an entry are not listed.
+    """
+    e, t = entries.alias("e"), traps.alias("t")
+
+    def meets(side: str) -> Column:
+        return (F.col("e.page_start") <= F.col(f"t.{side}_end")) & (F.col("e.page_end") >= F.col(f"t.{side}_start"))
+
+    return e.join(t, (F.col("e.file_id") == F.col("t.file_id")) & meets("left") & meets("right")).groupBy("t.file_id", "t.trap_id").agg(F.count("*").alias("n"))

@@ -250,6 +250,15 @@ def text_traps(spark, sf_dir):
     return evaluation.text_traps(got.withColumn("x", F.lit(1)), traps).select("file_id", "trap_id", "kind", "n")
 
 
+@query("""WITH e AS (SELECT file_id, order_key, min(page_number) AS ps, max(page_number) AS pe FROM {e} e GROUP BY 1, 2), t AS (SELECT DISTINCT file_id, CAST(file_id % 7 + 1 AS INTEGER) AS l FROM {e} e)
+SELECT e.file_id, 'apart' AS trap_id, count(*) AS n FROM e JOIN t ON e.file_id = t.file_id AND ps <= l + 1 AND pe >= l AND ps <= l + 3 AND pe >= l + 2 GROUP BY 1""")
+def separate_traps(spark, sf_dir):
+    got = shape(spark, sf_dir, "entries").groupBy("file_id", "order_key").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
+    left = (F.col("file_id") % 7 + 1).cast("int")
+    traps = got.select("file_id").distinct().select("file_id", F.lit("apart").alias("trap_id"), left.alias("left_start"), (left + 1).alias("left_end"), (left + 2).alias("right_start"), (left + 3).alias("right_end"))
+    return evaluation.spanning_entries(got, traps)
+
+
 @query("""WITH e AS (SELECT file_id, order_key, min(page_number) AS ps, max(page_number) AS pe, max(bucket) AS b, bool_or(include) AS i FROM {e} e GROUP BY 1, 2)
 SELECT k.file_id, k.order_key AS key_id, list_sort(list_distinct(list(lower(e.b)))) AS types FROM e k JOIN e ON k.file_id = e.file_id AND e.i AND e.ps <= k.pe AND e.pe >= k.ps GROUP BY ALL""")
 def visible_types(spark, sf_dir):
