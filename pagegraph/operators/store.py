@@ -72,8 +72,8 @@ def breadcrumbs(folders: DataFrame, levels: int = 32) -> DataFrame:
 
 
 def find_job(jobs: DataFrame, digest: str, config_id: str | None, version: int | None) -> DataFrame:
-    """The newest job of this content under this configuration."""
-    return jobs.where((F.lower(F.trim("source_digest")) == digest.strip().lower()) & F.col("rule_config_id").eqNullSafe(F.lit(config_id).cast("string")) & F.col("rule_config_version").eqNullSafe(F.lit(version).cast("bigint"))).orderBy(F.col("updated_at").desc()).limit(1)
+    """The newest job of this content under this configuration, of equally new ones the least job_id."""
+    return jobs.where((F.lower(F.trim("source_digest")) == digest.strip().lower()) & F.col("rule_config_id").eqNullSafe(F.lit(config_id).cast("string")) & F.col("rule_config_version").eqNullSafe(F.lit(version).cast("bigint"))).orderBy(F.col("updated_at").desc(), "job_id").limit(1)
 
 
 def submission(jobs: DataFrame) -> Column:

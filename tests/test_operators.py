@@ -155,6 +155,13 @@ def test_store(spark):
     assert {r.id: r.path for r in store.breadcrumbs(tree).collect()}["3"] == ["root", "sub", "leaf"]
 
 
+def test_the_newest_job_is_the_same_in_any_order_of_rows(spark):
+    told = "job_id string, source_digest string, rule_config_id string, rule_config_version bigint, updated_at int"
+    rows = [(f"j{k}", "d", None, None, 1 + (k > 3)) for k in (2, 9, 5, 4, 7, 1)]
+    for order in (rows, rows[::-1]):
+        assert [r.job_id for r in store.find_job(spark.createDataFrame(order, told), " D ", None, None).collect()] == ["j4"]
+
+
 def test_evaluation(spark):
     got = spark.createDataFrame([(1, 1, 2), (1, 4, 4)], "file_id int, page_start int, page_end int")
     counts = spark.createDataFrame([(1, 5), (2, 1)], "file_id int, page_count int")
