@@ -36,6 +36,24 @@ def write_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("job_id", "stage").json(path)
 
 
+#: Folders of a log of many jobs.
+LOG_FOLDERS = 32
+
+
+def write_logs(rows: DataFrame, path: str, folders: int = LOG_FOLDERS) -> None:
+    """Appends entries of many jobs to a log, all of one job to one folder; job and stage stand in each line.
+
+    The number of folders and files does not follow the number of jobs, as it does in ``write_log``, so listing and
+    opening them does not take over. Rows are not shuffled: a job of very many entries is written by all tasks.
+    """
+    rows.withColumn("folder", F.pmod(F.xxhash64("job_id"), F.lit(folders))).write.mode("append").partitionBy("folder").json(path)
+
+
+def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """job_id, stage and the fields of schema of the entries of ``write_logs``, with parse_error and raw as in ``read_log``."""
+    return read_log(spark, path, f"job_id string, stage string, {schema}").drop("folder")
+
+
 #: What an answer about a page looks like.
 PAGE = "page_kind string, include_in_output boolean, starts_new_document boolean, page_marker struct<index:int,total:int>, document struct<title:string,bucket:string,date:string,custom_type:string>, author struct<name:string,credentials:string,is_doctor:boolean>, evidence array<struct<kind:string,text:string,value:string,provenance:string>>, raw_text_excerpt string, markdown string"
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pagegraph.operators import checks, entries as E, evaluation, headers, linkage, rules, segments, store
 from pagegraph.sources import files
 
@@ -162,6 +163,27 @@ def test_the_newest_job_is_the_same_in_any_order_of_rows(spark):
         assert [r.job_id for r in store.find_job(spark.createDataFrame(order, told), " D ", None, None).collect()] == ["j4"]
 
 
+def test_logs_of_many_jobs(spark, tmp_path):
+    rows = [(k, k % 70, ("01", "", None, "a/b \n\"c\"")[k % 4]) for k in range(280)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["log_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == [(f"job_{j}", s, k, False) for k, j, s in rows]
+
+    log = str(tmp_path / "log")
+    files.write_logs(spark.createDataFrame([(f"job_{j}", s, k) for k, j, s in rows], "job_id string, stage string, k bigint"), log)
+    (tmp_path / "log" / "folder=0").mkdir(exist_ok=True)
+    (tmp_path / "log" / "folder=0" / "torn.json").write_text('{"job_id": "job_1", "st\n\n')
+    read = files.read_logs(spark, log, "k bigint").collect()
+    assert sum(r.parse_error for r in read) == 1 and {r.k for r in read} == {None, *range(280)}
+    homes = {f.parent.name for f in (tmp_path / "log").rglob("*.json")}
+    assert len(homes) <= files.LOG_FOLDERS
+
+    # One folder for each job and stage, where jobs are few.
+    files.write_log(spark.createDataFrame([("job_a", "parse", 1), ("job_b", "parse", 2)], "job_id string, stage string, k bigint"), str(tmp_path / "few"))
+    assert {(r.job_id, r.stage, r.k) for r in files.read_log(spark, str(tmp_path / "few"), "k bigint").collect()} == {("job_a", "parse", 1), ("job_b", "parse", 2)}
+    assert (tmp_path / "few" / "job_id=job_a" / "stage=parse").is_dir()
+
+
 def test_evaluation(spark):
     got = spark.createDataFrame([(1, 1, 2), (1, 4, 4)], "file_id int, page_start int, page_end int")
     counts = spark.createDataFrame([(1, 5), (2, 1)], "file_id int, page_count int")
