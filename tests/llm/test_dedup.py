@@ -16,6 +16,7 @@ from pagegraph.llm.components import components
 from pagegraph.llm.exact_dedup import exact_dedup
 from pagegraph.llm.line_dedup import line_dedup
 from pagegraph.llm.near_groups import near_dedup
+from pagegraph.llm.queries import op9_repeated_bytes
 from pagegraph.llm.repeats import repeat_dedup
 from pagegraph.llm.simhash import simhash_components
 
@@ -130,6 +131,21 @@ def test_repeated_bytes(spark, monkeypatch, crowd):
     assert repeat_dedup(frame(spark, [])).count() == 0
 
 
+def test_repeated_bytes_kept_text(spark, tmp_path):
+    r = random.Random(12)
+    long, short = (" ".join(f"x{r.randrange(1000):0{n}}" for _ in range(60)) for n in (7, 4))
+    assert len(long) >= 400 > len(short)
+    own = [words(r, 80) for _ in range(6)]
+    texts = [f"{own[0]} {long} {own[1]}", f"{own[2]}\n{long}\n{own[3]}", f"{own[4]} {short}", f"{short} {own[5]}", own[0][:300], None, long + "é" + own[1][:200], long + "è" + own[5][:200]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in op9_repeated_bytes(spark, str(tmp_path)).collect()}
+    assert all(long not in x.kept_text for x in got.values())
+    assert [got[k].kept_text for k in (2, 3, 4, 5)] == [*texts[2:5], ""]  # the shorter passage is below 400 bytes
+    assert [got[k].kept_text for k in (0, 1)] == [f"{own[0]}  {own[1]}", f"{own[2]}\n\n{own[3]}"]
+    assert all(hashlib.sha256(got[k].kept_text.encode()).hexdigest() == got[k].kept_sha256 for k in range(6))
+    assert [got[k].kept_text for k in (6, 7)] == ["\ufffd" + own[1][:200], "\ufffd" + own[5][:200]]  # both begin with the same byte, which goes
+
+
 def test_least_places():
     r = np.random.default_rng(1)
     for n, width in ((1, 1), (5, 3), (100, 7), (64, 64), (3, 5)):
